@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessergraph.llm import topk
+from tessergraph.llm import archive, topk
 
-QUERIES = {"op1_topk": topk.op1_topk}
-ORACLES = {"op1_topk": topk.OP1_SQL}
+QUERIES = {"op1_topk": topk.op1_topk, "op8_warc": archive.op8_warc}
+ORACLES = {"op1_topk": topk.OP1_SQL, "op8_warc": archive.OP8_SQL}
