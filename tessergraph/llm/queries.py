@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from tessergraph.llm import archive, topk
+from tessergraph.llm import archive, lengths, packing, pieces, quality, secrets, shards, simhash, topk
 
-QUERIES = {"op1_topk": topk.op1_topk, "op8_warc": archive.op8_warc}
+QUERIES = {
+    "op1_topk": topk.op1_topk,
+    "op2_secrets": secrets.op2_secrets,
+    "op3_quality": quality.op3_quality,
+    "op4_pieces": pieces.op4_pieces,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_shards": shards.op6_shards,
+    "op8_warc": archive.op8_warc,
+    "op9_lengths": lengths.op9_lengths,
+    "op10_packing": packing.op10_packing,
+}
 ORACLES = {"op1_topk": topk.OP1_SQL, "op8_warc": archive.OP8_SQL}
