@@ -81,16 +81,18 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 100, file_bytes:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html"))
     digest = F.sha2(html.cast("binary"), 256)
     sizes = base.select("page_id", digest.alias("digest"), F.octet_length(html).alias("n"))
-    seen = common.written(sizes, "digests")
+    seen, seen_path = common.stored(sizes, "digests")
     shape = seen.agg(F.sum("n").alias("n")).first()
     files = max(1, -(-(shape.n or 0) // file_bytes))
     owner = seen.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("c"))
     again = seen.where(F.col("n") >= min_bytes).join(owner.where("c > 1"), "digest").where(F.col("page_id") != F.col("owner"))
     again = again.groupBy("page_id", "digest").agg(F.min("owner").alias("refers_to"))
-    whole = base.withColumn("digest", digest).repartition(files, F.xxhash64("page_id", "digest")) if files > 1 else base.withColumn("digest", digest).coalesce(1)
+    # the join needs these keys together, so the pages are shuffled once
+    whole = base.withColumn("digest", digest).repartition(files, "page_id", "digest") if files > 1 else base.withColumn("digest", digest).coalesce(1)
     rows = whole.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     members = rows.mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
     members.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    common.remove(pages.sparkSession, seen_path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
