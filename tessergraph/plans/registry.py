@@ -2,5 +2,464 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessergraph.functions import cypher, ids, records, text
+from tessergraph.functions import vectors as V
+from tessergraph.operators import extraction, hypothesis, paths, resolve, similarity
+from tessergraph.operators.components import connected_components
+from tessergraph.operators.subgraph import Subgraphs, additional_nodes
+from tessergraph.operators.triplets import Triplets
+from tessergraph.plans import views
+from tessergraph.runtime import saved
+from tessergraph.sources import readers
+from tessergraph.streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+SUPPLY = """t AS (SELECT concat('S', l_suppkey) AS node_1, CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE 'pending' END AS edge,
+  concat('P', l_partkey) AS node_2, l_orderkey, l_quantity, l_orderkey * 16 + l_linenumber AS ord FROM lineitem)"""
+TAGGED = SUPPLY + """, g AS (SELECT t.*, c_mktsegment AS tag FROM t JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+nd AS (SELECT node_1 AS id, tag FROM g UNION SELECT node_2, tag FROM g)"""
+GEO = """t AS (SELECT concat('N', n_nationkey) AS node_1, 'in' AS edge, concat('R', n_regionkey) AS node_2 FROM nation
+  UNION ALL SELECT concat('C', c_custkey), 'lives in', concat('N', c_nationkey) FROM customer
+  UNION ALL SELECT concat('S', s_suppkey), 'based-in', concat('N', s_nationkey) FROM supplier)"""
+WORDS = """tok AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE lang = 'en'),
+t AS (SELECT w[i] AS node_1, 'next' AS edge, w[i + 1] AS node_2, doc_id FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM tok WHERE len(w) > 1))"""
+ESCAPE = "CASE WHEN regexp_matches({0}, '[ \\-,()\\[\\]{{}}]') THEN '`' || {0} || '`' ELSE {0} END"
+EDGE_TEXT = "'(' || {} || ')-[:' || {} || ']->(' || {} || ')'"
+
+
+def _edge_text(a: str, r: str, b: str) -> str:
+    return EDGE_TEXT.format(*(ESCAPE.format(x) for x in (a, r, b)))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# construction and provenance
+
+
+@query(f"WITH {SUPPLY} SELECT id, count(*) AS n_sources FROM (SELECT node_1 AS id FROM t UNION ALL SELECT node_2 FROM t) GROUP BY id")
+def kg_nodes_provenance(spark, d):
+    return views.graph(views.supply(spark, d)).provenance()
+
+
+@query(f"WITH {SUPPLY} SELECT node_1 AS src, edge AS relation, node_2 AS dst, count(*) AS n_sources FROM t GROUP BY ALL")
+def kg_edges_agg(spark, d):
+    return views.graph(views.supply(spark, d)).edge_provenance()
+
+
+@query(f"WITH {SUPPLY} SELECT DISTINCT edge AS relation FROM t")
+def kg_relation_types(spark, d):
+    return views.graph(views.supply(spark, d)).relations()
+
+
+@query(f"""WITH {SUPPLY}, n AS (SELECT count(*) AS nodes FROM (SELECT node_1 FROM t UNION SELECT node_2 FROM t)),
+e AS (SELECT count(*) AS edges, count(DISTINCT edge) AS relation_types FROM (SELECT DISTINCT node_1, edge, node_2 FROM t))
+SELECT nodes, edges, relation_types, round(relation_types / nodes, 6) AS types_per_node, round(2 * edges / nodes, 6) AS mean_degree FROM n, e""")
+def kg_summary(spark, d):
+    return views.graph(views.supply(spark, d)).summary()
+
+
+@query(f"WITH {SUPPLY} SELECT ord AS triplet_ord, node_1, edge, node_2, CAST(l_orderkey AS VARCHAR) AS chunk_id FROM t")
+def triplets_roundtrip(spark, d):
+    return views.graph(views.supply(spark, d)).triplets().df.select("triplet_ord", "node_1", "edge", "node_2", F.col("metadata")["chunk_id"].alias("chunk_id"))
+
+
+@query(f"WITH {SUPPLY} SELECT node_1, node_2, arg_max(edge, ord) AS edge, CAST(arg_max(l_orderkey, ord) AS VARCHAR) AS chunk_id FROM t GROUP BY node_1, node_2")
+def triplets_last_wins(spark, d):
+    return Triplets(views.supply(spark, d)).last_wins().select("node_1", "node_2", "edge", F.col("metadata")["chunk_id"].alias("chunk_id"))
+
+
+@query(f"WITH {SUPPLY} SELECT node_1, edge, node_2, ord AS triplet_ord FROM t WHERE md5(node_1) < '8' AND md5(node_2) < '8'")
+def triplets_subgraph(spark, d):
+    t = Triplets(views.supply(spark, d))
+    return t.within(t.nodes().where(F.md5(F.col("id").cast("binary")) < "8")).select("node_1", "edge", "node_2", "triplet_ord")
+
+
+@query(f"WITH {SUPPLY} SELECT node_1 AS src, edge AS relation, node_2 AS dst FROM t WHERE node_1 = 'S1' OR node_2 = 'S1'")
+def triplets_neighbours(spark, d):
+    return Triplets(views.supply(spark, d)).neighbours("S1")
+
+
+@query(f"WITH {SUPPLY} SELECT ord AS triplet_ord, '(' || node_1 || ')-[' || edge || ']->(' || node_2 || ')' AS text FROM t")
+def triplets_text(spark, d):
+    return Triplets(views.supply(spark, d)).text()
+
+
+@query("SELECT o_custkey AS item, max('baseline_' || (o_orderkey % 12)) AS kg_version FROM orders GROUP BY o_custkey")
+def version_latest(spark, d):
+    v = views.table(spark, d, "orders").select(F.col("o_custkey").alias("item"), F.concat(F.lit("baseline_"), F.col("o_orderkey") % 12).alias("v"))
+    return v.groupBy("item").agg(F.max("v").alias("kg_version"))
+
+
+# domains
+
+
+@query(f"WITH {TAGGED} SELECT id FROM nd WHERE tag = 'BUILDING'")
+def domain_nodes(spark, d):
+    return views.segmented_supply(spark, d, "BUILDING").node_rows().select("id")
+
+
+@query(f"WITH {TAGGED} SELECT DISTINCT node_1 AS src, edge AS relation, node_2 AS dst FROM g WHERE tag = 'BUILDING'")
+def domain_edges(spark, d):
+    return views.segmented_supply(spark, d, "BUILDING").edge_rows().select("src", "relation", "dst")
+
+
+@query(f"""WITH {TAGGED}, x AS (SELECT id, tag FROM nd WHERE NOT (tag = 'BUILDING' AND md5(id) < '8'))
+SELECT id, count(*) AS n_domains FROM x GROUP BY id""")
+def remove_domain(spark, d):
+    g = views.segmented_supply(spark, d, "BUILDING")
+    left = g.remove_nodes(g.node_rows().select("id").where(F.md5(F.col("id").cast("binary")) < "8"))
+    return left.nodes.select("id", F.size("domains").cast("long").alias("n_domains"))
+
+
+@query(f"""WITH {TAGGED} SELECT DISTINCT node_1 AS id, node_2 AS neighbour FROM g WHERE node_2 IN (SELECT id FROM nd WHERE tag = 'BUILDING')""")
+def successors(spark, d):
+    g = views.segmented_supply(spark, d, "BUILDING")
+    return g.successors(g.nodes.where("id LIKE 'S%'"))
+
+
+@query(f"""WITH {TAGGED} SELECT DISTINCT node_2 AS id, node_1 AS neighbour FROM g WHERE node_1 IN (SELECT id FROM nd WHERE tag = 'BUILDING')""")
+def predecessors(spark, d):
+    g = views.segmented_supply(spark, d, "BUILDING")
+    return g.predecessors(g.nodes.where("id LIKE 'P%'"))
+
+
+@query(f"""WITH {TAGGED}, u AS (SELECT node_1 AS id, node_2 AS neighbour FROM g UNION SELECT node_2, node_1 FROM g)
+SELECT id, neighbour FROM u WHERE neighbour IN (SELECT id FROM nd WHERE tag = 'BUILDING')""")
+def neighbors(spark, d):
+    g = views.segmented_supply(spark, d, "BUILDING")
+    return g.neighbours(g.nodes)
+
+
+@query(f"""WITH {TAGGED}, e AS (SELECT DISTINCT node_1, edge, node_2 FROM g WHERE tag = 'BUILDING')
+SELECT node_1 AS id, node_1 AS src, edge AS relation, node_2 AS dst FROM e UNION ALL SELECT node_2, node_1, edge, node_2 FROM e""")
+def labelled_neighborhood(spark, d):
+    g = views.segmented_supply(spark, d, "BUILDING")
+    return g.labelled_neighbourhood(g.nodes)
+
+
+# paths
+
+
+def _customer_paths(spark, d):
+    """Customer, nation, region and the region's first nation: two forward hops and a reverse one."""
+    c, n = views.table(spark, d, "customer"), views.table(spark, d, "nation")
+    first = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("first"))
+    p = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(first, "n_regionkey")
+    node = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))
+    path = F.array(node("C", "c_custkey"), node("N", "n_nationkey"), node("R", "n_regionkey"), node("N", "first"))
+    return p.select(node("C", "c_custkey").alias("path_id"), path[0].alias("start"), path[3].alias("end"), path.alias("path"))
+
+
+_PATHS = f"""WITH {GEO}, f AS (SELECT n_regionkey AS rk, min(n_nationkey) AS fn FROM nation GROUP BY 1),
+p AS (SELECT 'C' || c_custkey AS path_id, ['C' || c_custkey, 'N' || n_nationkey, 'R' || n_regionkey, 'N' || fn] AS path
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN f ON rk = n_regionkey),
+h AS (SELECT path_id, i - 1 AS pos, path[i] AS a, path[i + 1] AS b FROM (SELECT path_id, path, unnest([1, 2, 3]) AS i FROM p))"""
+
+
+@query(f"""{_PATHS} SELECT path_id, CAST(pos AS INTEGER) AS pos, node_1 AS src, edge AS relation, node_2 AS dst FROM h JOIN t ON node_1 = a AND node_2 = b
+UNION ALL SELECT path_id, CAST(pos AS INTEGER), node_1, edge, node_2 FROM h JOIN t ON node_1 = b AND node_2 = a
+WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.node_1 = h.a AND x.node_2 = h.b)""")
+def path_edges(spark, d):
+    return paths.path_edges(views.graph(views.geo(spark, d)), _customer_paths(spark, d))
+
+
+@query(f"""{_PATHS} SELECT path_id, CAST(pos AS INTEGER) AS pos, a AS source, b AS target, coalesce(f.edge, r.edge, '') AS relation
+FROM h LEFT JOIN t f ON f.node_1 = a AND f.node_2 = b LEFT JOIN t r ON r.node_1 = b AND r.node_2 = a""")
+def path_edges_last(spark, d):
+    return paths.path_edges_last(views.graph(views.geo(spark, d)), _customer_paths(spark, d))
+
+
+@query(f"""{_PATHS} SELECT path_id, CAST(pos AS INTEGER) AS pos, a AS source, coalesce(f.edge, 'REVERSE_' || r.edge, 'unknown_relation') AS relation, b AS target
+FROM h LEFT JOIN t f ON f.node_1 = a AND f.node_2 = b LEFT JOIN t r ON r.node_1 = b AND r.node_2 = a""")
+def walk_edges(spark, d):
+    return paths.walk_edges(views.graph(views.geo(spark, d)), _customer_paths(spark, d))
+
+
+def _bfs_sql(both: bool) -> str:
+    back = " UNION SELECT node_2, node_1 FROM t WHERE l_quantity >= 50" if both else ""
+    return f"""WITH RECURSIVE {SUPPLY}, u AS (SELECT node_1 AS s, node_2 AS n FROM t WHERE l_quantity >= 50{back}),
+r(id, depth) AS (SELECT min(node_1), 0 FROM t WHERE l_quantity >= 50 UNION SELECT u.n, depth + 1 FROM r JOIN u ON u.s = r.id WHERE depth < 8)
+SELECT 'root' AS path_id, id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY id"""
+
+
+def _bfs(spark, d, directed):
+    t = views.supply(spark, d, 50)
+    return paths.bfs_levels(views.graph(t), t.agg(F.min("node_1").alias("start")).withColumn("path_id", F.lit("root")), directed, 8)
+
+
+@query(_bfs_sql(False))
+def bfs_levels_directed(spark, d):
+    return _bfs(spark, d, True)
+
+
+@query(_bfs_sql(True))
+def bfs_levels_undirected(spark, d):
+    return _bfs(spark, d, False)
+
+
+def _nation_pairs(spark, d):
+    n = views.table(spark, d, "nation")
+    a = n.select("n_regionkey", F.concat(F.lit("N"), "n_nationkey").alias("start"))
+    b = n.select("n_regionkey", F.concat(F.lit("N"), "n_nationkey").alias("end"))
+    return a.join(b, "n_regionkey").where("start <> end").select(F.concat_ws(">", "start", "end").alias("path_id"), "start", "end")
+
+
+@query("""SELECT 'N' || a.n_nationkey || '>N' || b.n_nationkey AS path_id, 'N' || a.n_nationkey || ' -> R' || a.n_regionkey || ' -> N' || b.n_nationkey AS path
+FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey""")
+def shortest_path(spark, d):
+    found = paths.ShortestPath().paths(views.graph(views.geo(spark, d)), _nation_pairs(spark, d))
+    return found.select("path_id", cypher.path_text(F.col("path")).alias("path"))
+
+
+def _starts(spark, d):
+    return views.table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("path_id"), F.concat(F.lit("N"), "n_nationkey").alias("start"))
+
+
+@query()
+def random_walks(spark, d):
+    return paths.RandomWalk(6, seed=7).paths(views.graph(views.geo(spark, d)), _starts(spark, d)).select("path_id", cypher.path_text(F.col("path")).alias("path"))
+
+
+@query()
+def embedding_path(spark, d):
+    g = views.graph(views.geo(spark, d))
+    # a nation's vector is near its region's, others are unrelated
+    near = g.edges.where("relation = 'in'").select(F.col("src").alias("id"), F.col("dst").alias("region"))
+    mixed = F.zip_with(V.hashed(F.coalesce("region", "id")), V.hashed(F.col("id")), lambda x, y: 0.9 * x + 0.1 * y)
+    vecs = g.nodes.join(near, "id", "left").select(F.col("id").alias("text"), mixed.alias("vec"))
+    return paths.EmbeddingPath(vecs, top_k=1).paths(g, _nation_pairs(spark, d)).select("path_id", F.size("path").cast("long").alias("nodes"))
+
+
+@query()
+def randomized_shortest(spark, d):
+    return paths.RandomizedShortest(0.5, 1, seed=3).paths(views.graph(views.geo(spark, d)), _nation_pairs(spark, d)).select("path_id", cypher.path_text(F.col("path")).alias("path"))
+
+
+def _first_listed(prompt: str) -> str:
+    """A stand-in for a model: the first unvisited neighbour it is shown."""
+    here = prompt.split("Path: ")[1].split("\n")[0].split(" -> ")[-1]
+    for line in prompt.split("Neighbours:\n")[1].split("\n"):
+        if not line.startswith("visited: ") and "]-> " in line:
+            a, b = line.split(" -[")[0], line.split("]-> ")[1]
+            return f"NEXT_NODE: {b if a == here else a}"
+    return "no idea"
+
+
+@query()
+def model_walk(spark, d):
+    return paths.ModelWalk(_first_listed, 4).paths(views.graph(views.geo(spark, d)), _starts(spark, d)).select("path_id", cypher.path_text(F.col("path")).alias("path"))
+
+
+# subgraphs
+
+
+def _nation_subgraphs(spark, d):
+    g = views.graph(views.geo(spark, d))
+    n = views.table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("start"), F.concat(F.lit("R"), "n_regionkey").alias("end"))
+    p = n.select(F.col("start").alias("path_id"), "start", "end", F.array("start", "end").alias("path"))
+    return Subgraphs(g, p, additional_nodes(g, p, keep=lambda c: F.md5(c.cast("binary")) < "4"))
+
+
+_EXTRA = f"""WITH {GEO}, u AS (SELECT node_1 AS a, node_2 AS b FROM t UNION SELECT node_2, node_1 FROM t),
+p AS (SELECT 'N' || n_nationkey AS path_id, 'N' || n_nationkey AS s, 'R' || n_regionkey AS e FROM nation),
+x AS (SELECT DISTINCT path_id, b AS id FROM p JOIN u ON a IN (s, e) WHERE b NOT IN (s, e) AND md5(b) < '4'),
+m AS (SELECT path_id, s AS id FROM p UNION SELECT path_id, e FROM p UNION SELECT path_id, id FROM x)"""
+
+
+@query(f"{_EXTRA} SELECT path_id, id FROM x")
+def additional_nodes_hash(spark, d):
+    return _nation_subgraphs(spark, d).extra
+
+
+@query(f"{_EXTRA} SELECT a.path_id AS path_id, node_1 AS src, edge AS relation, node_2 AS dst FROM t JOIN m a ON a.id = node_1 JOIN m b ON b.id = node_2 AND a.path_id = b.path_id")
+def induced_subgraph(spark, d):
+    return _nation_subgraphs(spark, d).edges().select("path_id", "src", "relation", "dst")
+
+
+@query(f"""{_EXTRA}, i AS (SELECT a.path_id AS path_id FROM t JOIN m a ON a.id = node_1 JOIN m b ON b.id = node_2 AND a.path_id = b.path_id)
+SELECT p.path_id AS path_id, (SELECT count(*) FROM m WHERE m.path_id = p.path_id) AS node_count, (SELECT count(*) FROM i WHERE i.path_id = p.path_id) AS edge_count, CAST(2 AS BIGINT) AS path_length FROM p""")
+def subgraph_stats(spark, d):
+    return _nation_subgraphs(spark, d).stats()
+
+
+@query(f"""{_EXTRA}, i AS (SELECT a.path_id AS path_id, CASE WHEN edge = 'in' AND node_1 = a.path_id THEN 0 ELSE 1 END AS part, node_1, edge, node_2
+  FROM t JOIN m a ON a.id = node_1 JOIN m b ON b.id = node_2 AND a.path_id = b.path_id)
+SELECT path_id, string_agg({_edge_text('node_1', 'edge', 'node_2')}, ',' || chr(10) ORDER BY part, node_1, edge, node_2) AS cypher FROM i GROUP BY path_id""")
+def cypher_subgraph(spark, d):
+    return _nation_subgraphs(spark, d).cypher()
+
+
+@query(f"WITH {GEO} SELECT node_1 AS src, edge AS relation, node_2 AS dst, {_edge_text('node_1', 'edge', 'node_2')} AS cypher FROM t")
+def cypher_edges(spark, d):
+    return views.graph(views.geo(spark, d)).cypher()
+
+
+@query()
+def subgraph_documents(spark, d):
+    return _nation_subgraphs(spark, d).documents()
+
+
+# entity resolution
+
+
+_CANON = f"""WITH {WORDS}, c AS (SELECT id, count(*) AS n FROM (SELECT node_1 AS id FROM t UNION ALL SELECT node_2 FROM t) GROUP BY id),
+m AS (SELECT id, lower(id) AS group_id, first_value(id) OVER (PARTITION BY lower(id) ORDER BY n DESC, id) AS canonical, count(*) OVER (PARTITION BY lower(id)) AS k FROM c)"""
+
+
+@query(f"{_CANON} SELECT group_id, id FROM m WHERE k > 1")
+def merge_exact_groups(spark, d):
+    return resolve.ExactMerger().groups(views.graph(views.words(spark, d)))
+
+
+@query(f"{_CANON} SELECT id, canonical FROM m WHERE k > 1")
+def merge_exact_canonical(spark, d):
+    return resolve.ExactMerger().mapping(views.graph(views.words(spark, d)))
+
+
+@query(f"{_CANON} SELECT a.canonical AS src, edge AS relation, b.canonical AS dst, count(*) AS n_sources FROM t JOIN m a ON a.id = node_1 JOIN m b ON b.id = node_2 GROUP BY ALL")
+def merge_exact_contracted(spark, d):
+    return resolve.merge(views.graph(views.words(spark, d)), resolve.ExactMerger()).edge_provenance()
+
+
+_PAIRS = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT x.id AS a, y.id AS b, {} AS sim FROM v x JOIN v y ON x.id < y.id)"
+_COS = "list_cosine_similarity(x.e, y.e)"
+
+
+def _pair_query(metric: str, threshold: float):
+    return lambda spark, d: similarity.similar_pairs(views.vectors(spark, d), threshold, metric).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+for _name, _metric, _threshold, _expr in (("sim_pairs_cosine", "cosine", 0.35, _COS), ("sim_pairs_l2", "euclidean", 0.47, "1 / (1 + list_distance(x.e, y.e))"), ("sim_pairs_dot", "dot_product", 0.35, "list_inner_product(x.e, y.e)")):
+    QUERIES[_name] = _pair_query(_metric, _threshold)
+    ORACLES[_name] = f"WITH {_PAIRS.format(_expr)} SELECT a, b, round(sim, 6) AS sim FROM s WHERE sim >= {_threshold}"
+
+
+@query(f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT x.id AS a, y.id AS b, round({_COS}, 9) AS sim FROM v x JOIN v y ON x.id <> y.id),
+r AS (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM s)
+SELECT a, b, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def knn_topk(spark, d):
+    return similarity.nearest(views.vectors(spark, d), 5).select("a", "b", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(f"""WITH RECURSIVE {_PAIRS.format(_COS)}, p AS (SELECT a, b FROM s WHERE sim >= 0.4), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(id, l) AS (SELECT a, a FROM u UNION SELECT u.b, r.l FROM r JOIN u ON u.a = r.id) SELECT id, min(l) AS component FROM r GROUP BY id""")
+def similarity_components(spark, d):
+    return connected_components(similarity.similar_pairs(views.vectors(spark, d), 0.4))
+
+
+@query()
+def greedy_leader_clusters(spark, d):
+    return resolve.greedy_leaders(similarity.similar_pairs(views.vectors(spark, d), 0.35))
+
+
+# items, text, hypotheses
+
+
+@query("""SELECT doc_id, sha256('doi:10.' || source || '/' || doc_id || CASE WHEN doc_id <> 0 THEN '|pm_id:' || doc_id ELSE '' END) AS id FROM documents""")
+def item_ids(spark, d):
+    doc = views.table(spark, d, "documents")
+    return doc.select("doc_id", ids.item_id(doi=F.concat(F.lit("10."), "source", F.lit("/"), "doc_id"), pm_id=F.col("doc_id")).alias("id"))
+
+
+@query("""WITH a AS (SELECT doc_id AS rec, 'D' || doc_id AS doi, n_chars AS pm_id FROM documents), b AS (SELECT doc_id AS rec, 'D' || doc_id AS doi, doc_id AS pm_id FROM labels)
+SELECT a.rec AS left, b.rec AS right, CAST(a.doi = b.doi AS INTEGER) + CAST(a.pm_id = b.pm_id AS INTEGER) AS matches,
+  CAST(a.doi <> b.doi AS INTEGER) + CAST(a.pm_id <> b.pm_id AS INTEGER) AS conflicts FROM a JOIN b ON a.doi = b.doi OR a.pm_id = b.pm_id""".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
+def item_linkage(spark, d):
+    a = views.table(spark, d, "documents").select(F.col("doc_id").alias("rec"), F.concat(F.lit("D"), "doc_id").alias("doi"), F.col("n_chars").alias("pm_id"))
+    b = views.table(spark, d, "labels").select(F.col("doc_id").alias("rec"), F.concat(F.lit("D"), "doc_id").alias("doi"), F.col("doc_id").alias("pm_id"))
+    return records.linked(a, b)
+
+
+@query("SELECT doc_id AS pm_id, source AS gs_meta, lang AS category FROM documents")
+def metadata_aliases(spark, d):
+    doc = views.table(spark, d, "documents").select(F.col("doc_id").alias("PMID"), F.col("source").alias("gs_metadata"), F.col("lang").alias("Category"))
+    return records.canonical_names(doc)
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n'), lambda x: trim(x)), lambda x: x <> '') AS c FROM documents)
+SELECT CAST(doc_id AS VARCHAR) || '_' || (i - 1) AS chunk_id, CAST(i - 1 AS INTEGER) AS pos, c[i] AS text FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM s)""")
+def chunk_sections(spark, d):
+    doc = views.table(spark, d, "documents")
+    return text.chunk_arrays(doc.select(F.col("doc_id").cast("string").alias("item_id"), text.sections(F.col("text")).alias("chunks"))).select("chunk_id", "pos", "text")
+
+
+@query()
+def chunk_fixed(spark, d):
+    return text.chunk_fixed(views.table(spark, d, "documents"), "doc_id", "text", 200, 20)
+
+
+@query(r"""WITH s AS (SELECT doc_id, string_split_regex(text, '\b') AS c FROM documents), k AS (SELECT doc_id, string_split(text, ' ') AS c FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(c, lambda x, i: (CASE WHEN i > 1 AND regexp_matches(x, '^[.?!]') THEN ltrim(x[2:]) ELSE x END)
+  || CASE WHEN i < len(c) THEN regexp_extract(c[i + 1], '^[.?!]') ELSE '' END), '|')) AS repaired FROM k""".replace(r"s AS (SELECT doc_id, string_split_regex(text, '\b') AS c FROM documents), ", ""))
+def punctuation_repair(spark, d):
+    doc = views.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("c"))
+    return doc.select("doc_id", F.md5(F.array_join(text.repair(F.col("c")), "|").cast("binary")).alias("repaired"))
+
+
+@query("SELECT doc_id, sha256(text) AS hypothesis_id FROM documents")
+def hypothesis_ids(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", ids.hypothesis_id(F.col("text")).alias("hypothesis_id"))
+
+
+@query("""WITH r AS (SELECT doc_id, 'Plausible. rating=' || (quality + 2 * toxic) || ' on balance' AS reply FROM labels)
+SELECT doc_id, CAST(regexp_extract(reply, 'rating=([0-9]+)', 1) AS INTEGER) AS score, trim(regexp_replace(reply, 'rating=[0-9]+', '', 'g')) AS why FROM r""")
+def score_parse(spark, d):
+    reply = F.concat(F.lit("Plausible. rating="), F.col("quality") + 2 * F.col("toxic"), F.lit(" on balance"))
+    score, why = text.rating(reply)
+    return views.table(spark, d, "labels").select("doc_id", score.alias("score"), why.alias("why"))
+
+
+def _messages(spark, d):
+    c = views.table(spark, d, "conversations")
+    n = F.size(F.split("text", " "))
+    model = F.when(F.col("role") == "user", "gpt-4o-mini-2024").when(F.col("role") == "assistant", "gpt-4o").otherwise("local")
+    return c.select(F.col("conv_id").alias("conversation"), model.alias("model"), n.alias("tokens_in"), (n * 2).alias("tokens_out"))
+
+
+@query("""WITH m AS (SELECT conv_id, role, len(string_split(text, ' ')) AS n FROM conversations)
+SELECT conv_id AS conversation, round(sum(CASE role WHEN 'user' THEN round(n / 1000 * 0.00015 + 2 * n / 1000 * 0.0006, 4) WHEN 'assistant' THEN round(n / 1000 * 0.0025 + 2 * n / 1000 * 0.01, 4) ELSE 0 END), 4) AS cost FROM m GROUP BY conv_id""")
+def model_cost(spark, d):
+    return hypothesis.cost(_messages(spark, d))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_links FROM pages")
+def page_links(spark, d):
+    return readers.html_links(views.table(spark, d, "pages"))
+
+
+@query()
+def extraction_pipeline(spark, d):
+    items = views.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item_id"), "text")
+    return extraction.generate(items, extraction.rule_based)
+
+
+@query()
+def hypothesis_loop(spark, d):
+    found, _ = saved(_nation_subgraphs(spark, d).with_ids().join(_nation_subgraphs(spark, d).cypher(), "path_id").select("subgraph_id", F.col("cypher").alias("context")), "ctx")
+    shout = lambda x: x.upper()
+    verdict = lambda x: "ACCEPT" if "LIVES" in x or len(x) > 400 else "REVISE"
+    return hypothesis.improve(found, lambda c: f"Hypothesis Statement: {c}", {"novelty": lambda h: "new", "impact": lambda h: "some"}, verdict, shout)
+
+
+# streaming
+
+
+@query("SELECT event_type AS relation, count(*) AS n FROM events GROUP BY event_type")
+def stream_incremental_counts(spark, d):
+    return incremental.run_to_table(spark, d, "counts")
