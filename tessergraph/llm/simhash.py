@@ -88,6 +88,7 @@ def linked_in_bucket(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -
     """A spanning forest of the links among distinct fingerprints, found through their pivot table (rows x pivots)."""
     order = np.lexsort((fps, table[:, 0]))
     fps, table = fps[order], table[order].astype(np.int8)
+    bits = fps.astype(np.int64).view(np.uint64)  # bits of a signed number are counted in its absolute value
     parent = list(range(len(fps)))
 
     def root(i: int) -> int:
@@ -103,7 +104,7 @@ def linked_in_bucket(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -
             continue
         near = table[i + 1 : ends[i]]
         at = np.flatnonzero(np.abs(near - table[i]).max(1) <= radius)
-        at = at[np.bitwise_count(fps[i + 1 + at] ^ fps[i]) <= radius] + i + 1
+        at = at[np.bitwise_count(bits[i + 1 + at] ^ bits[i]) <= radius] + i + 1
         for j in at:
             a, b = root(i), root(int(j))
             if a != b:
