@@ -93,7 +93,7 @@ def chunk_arrays(items: DataFrame) -> DataFrame:
 
 def sections(text: Column) -> Column:
     """Non-empty blocks between blank lines."""
-    return F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def rating(reply: Column) -> tuple[Column, Column]:
@@ -118,7 +118,7 @@ def title(reply: Column, default: Column) -> Column:
 def references(reply: Column) -> Column:
     """Lines after References: that begin with a digit or a dash."""
     tail = F.element_at(F.split(reply, "References:", 2), -1)
-    lines = F.filter(F.transform(F.split(tail, "\n"), F.trim), lambda x: x.rlike(r"^(\d|- )"))
+    lines = F.filter(F.transform(F.split(tail, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^(\d|- )"))
     return F.when(F.contains(reply, F.lit("References:")), lines).otherwise(F.array().cast("array<string>"))
 
 

@@ -32,11 +32,17 @@ def graph_tables(graph: Graph, path: str) -> None:
         getattr(graph, name).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
 
+def _by_order(x, y):
+    """Maps have no order, so occurrences are sorted by ordinal, then id."""
+    a, b = F.struct(x["ord"], x["triplet_id"]), F.struct(y["ord"], y["triplet_id"])
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
 def graph_document(graph: Graph) -> DataFrame:
     """One row ``json``: the whole graph, all domains. For graphs that fit a document; else graph_tables. Empty: ValueError."""
     if graph.nodes.isEmpty():
         raise ValueError("an empty graph isn't saved")
-    sources = graph.sources.groupBy("src", "relation", "dst").agg(F.array_sort(F.collect_list(F.struct("ord", "triplet_id", "metadata"))).alias("s"))
+    sources = graph.sources.groupBy("src", "relation", "dst").agg(F.array_sort(F.collect_list(F.struct("ord", "triplet_id", "metadata")), _by_order).alias("s"))
     nodes = graph.nodes.agg(F.collect_list(F.struct("id", F.struct("domains", "attrs").alias("attributes"))).alias("nodes"))
     edge = F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.struct("relation", "domains", "attrs", "ord", F.transform("s", lambda x: F.struct(x["triplet_id"], x["ord"], x["metadata"])).alias("sources")).alias("attributes"))
     edges = graph.edges.join(sources, ["src", "relation", "dst"], "left").agg(F.collect_list(edge).alias("edges"))
