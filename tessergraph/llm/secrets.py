@@ -32,7 +32,7 @@ HEX = r"[0-9a-f]{16,}"
 #: The method's own kinds; values are the whole match.
 IDENTIFIER = r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+_.@-]{3,}|(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"""
 OPAQUE = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}"
-ENDPOINT = r"(?i:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?::[0-9]+)?\b"
+ENDPOINT = r"(?i:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![0-9A-Za-z_.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?::[0-9]+)?(?![0-9A-Za-z_])"
 #: A hex run that is long enough, and has a letter, to be the secret part.
 SECRET_HEX = r"(?<![0-9a-f])(?=[0-9]*+[a-f])[0-9a-f]{20,}"
 SCOPE = r"\n[ \t\r]*\n"
