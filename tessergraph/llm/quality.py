@@ -5,19 +5,20 @@ words, code points in words, symbols, repeated lines, words in repeated 3-word w
 A text fails the base rule with under 50 words or when over half of its words lie in
 repeated windows.
 
-Thresholds.  Each rule turns the counts into a score in 1/1000ths (its bin).  The labelled rows
-that pass the base rule and are marked good are counted per stratum (language), rule and bin.
+Thresholds.  Each rule turns the counts into a score in 1/1000ths.  The labelled rows
+that pass the base rule are counted, good ones and others, per stratum (language) and bins of all rules.
 For a cutoff t, the good rows scoring above t would be rejected; the exact
 (Clopper-Pearson) upper bound on that rate, at confidence 1 - delta / tests, must be at most
 ``alpha / rules``.  Multiple testing: a rule's cutoffs in ``GRID`` are tested in a fixed sequence from
 the loosest and end with the first that fails, which needs no further correction; strata x
-rules such sequences share delta (Bonferroni).  The last cutoff that passes is used.  So
+rules such sequences share delta (Bonferroni).  Of the cutoffs that pass, all certified at once, the one is
+used that rejects the most other rows over good ones, beyond what earlier rules reject; if none gains, the rule isn't applied.  So
 a stratum falsely rejects at most alpha of its good texts, with probability 1 - delta
 over all strata and rules at once.  Where too few labels exist to certify any cutoff, the rule
 is not applied there.  A text is kept if it passes the base rule and no rule rejects it.
 
 Bounds.  All labelled rows count.  Counting is by groupBy, so a stratum with a third of all rows
-is summed in the tasks first; what a stratum's selection reads is at most rules x bins rows.
+is summed in the tasks first; what a stratum's selection reads is at most one row for each combination of bins.
 The thresholds are broadcast only if they have at most MAX_STRATA strata, and else joined.
 
 Defined cases.  A null text has no words and fails the base rule.  A null language is a
@@ -116,16 +117,22 @@ def _select(alpha: float, delta: float, strata: int):
     miss, limit = delta / (strata * len(RULES)), alpha / len(RULES)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"lang": pdf.lang.iloc[0], "good": int(pdf.n[pdf["rule"] == next(iter(RULES))].sum())}
+        n = int(pdf.good.sum())
+        out = {"lang": pdf.lang.iloc[0], "good": n}
+        left = pdf  # rows that no earlier rule rejects
         for rule in RULES:
-            own = pdf[pdf["rule"] == rule].sort_values("bin", ascending=False)
-            n, cut = int(own.n.sum()), None
+            best = 0, None
             for t in reversed(GRID):
-                bad = int(own.n[own["bin"] > t].sum())
+                bad = int(pdf.good[pdf[rule] > t].sum())
                 if bad > limit * n or upper_bound(bad, n, miss) > limit:
                     break
-                cut = t
-            out[rule] = cut
+                hit = left[left[rule] > t]
+                gain = int(hit.poor.sum()) - int(hit.good.sum())
+                if gain > best[0]:
+                    best = gain, t
+            out[rule] = best[1]
+            if best[1] is not None:
+                left = left[left[rule] <= best[1]]
         return pd.DataFrame([out]).astype({r: "Int64" for r in RULES})
 
     return run
@@ -134,13 +141,16 @@ def _select(alpha: float, delta: float, strata: int):
 def thresholds(found: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
     """(lang, good, a cutoff or null for each rule) from all labelled rows."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    good = found.where(~base_failed()).join(marks.where("quality = 1"), "doc_id", "left_semi")
-    scored = good.select("lang", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), score(r).alias("bin")) for r in RULES])).alias("s")).select("lang", "s.rule", "s.bin")
-    # bins between two cutoffs act alike
-    edges = F.lit(0)
-    for t in GRID:
-        edges = F.when(F.col("bin") > t, t + 1).otherwise(edges)
-    table = scored.groupBy("lang", "rule", edges.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+    def bin_of(rule: str):
+        """The least value of the score's bin: scores between two cutoffs act alike."""
+        edge = F.lit(0)
+        for t in GRID:
+            edge = F.when(score(rule) > t, t + 1).otherwise(edge)
+        return edge.cast("long").alias(rule)
+
+    scored = found.where(~base_failed()).join(marks, "doc_id").select("lang", *[bin_of(r) for r in RULES], (F.col("quality") == 1).cast("long").alias("g"))
+    table = scored.groupBy("lang", *RULES).agg(F.sum("g").alias("good"), F.sum(1 - F.col("g")).alias("poor"))
     strata = max(1, table.select("lang").distinct().count())
     return table.groupBy("lang").applyInPandas(_select(alpha, delta, strata), "lang string, good long, " + ", ".join(f"{r} long" for r in RULES))
 
