@@ -285,3 +285,25 @@ def test_command_line_from_texts_to_subgraphs(spark, tmp_path, capsys):
     assert spark.read.text(str(tmp_path / "s")).count() == 1
     cli.main(["graph-stats", "--graph", str(tmp_path / "g")])
     assert "relation_types" in capsys.readouterr().out
+
+
+def test_models_prompts_and_longer_loop(spark, tmp_path):
+    from tessergraph.operators import models
+
+    m = models.Models(a=str.upper)
+    m.register("b", str.lower)
+    assert m.get("a")("x") == "X" and m.get()("X") == "x"
+    with pytest.raises(ValueError):
+        m.get("c")
+    p = models.Prompts({"q": "Tell {who} of {what}."})
+    assert p.get("q", who="A", what="B") == "Tell A of B."
+    assert one(spark, p.column("q", who=F.lit("A"), what=F.lit(None)))[0] == "Tell A of ."
+    with pytest.raises(ValueError):
+        p.get("none")
+    (tmp_path / "p.yaml").write_text("q: 'Hi {x}'\n")
+    assert models.Prompts.from_yaml(str(tmp_path / "p.yaml")).get("q", x=1) == "Hi 1"
+    start = spark.createDataFrame([("s", "ctx")], "subgraph_id string, context string")
+    tried = models.novel(start, lambda c: "h+" if "dull" in c else "h", lambda h: "ACCEPT" if "+" in h else "dull").first()
+    assert (tried.hypothesis, tried.tries) == ("h+", 2)
+    done = models.reviewed(start, lambda c: "h", lambda h: "dull", lambda h: "m", {"nice": lambda h: "good", "rude": lambda h: "bad"}, lambda v: "ACCEPT" if "nice: good\nrude: bad" in v else "no", lambda h: h).first()
+    assert done.hypothesis == "h\nMethod: m" and done.decision == "ACCEPT" and done.iterations == 1
