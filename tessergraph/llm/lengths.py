@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts a text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 1024
+BLOCK = 64
 _encoders: dict = {}
 
 
