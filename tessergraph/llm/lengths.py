@@ -5,7 +5,8 @@ histogram is as long as there are distinct lengths, however many documents there
 Suffix sums over it answer, for every context limit, how many documents exceed it,
 how many tokens truncation keeps and loses, and any quantile, all exactly.
 
-The suffix sums run in two levels (blocks of ``BLOCK`` lengths, then lengths within a
+The histogram is written to the shared folder before it is summed, since blocks and lengths both
+read it and texts must be encoded once.  The suffix sums run in two levels (blocks of ``BLOCK`` lengths, then lengths within a
 block), so no task sorts the whole histogram.
 
 The tokenizer is a byte-level BPE given as a tiktoken rank file; the driver reads it
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessergraph.llm import common
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts a text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,7 +68,7 @@ def histogram(docs: DataFrame, text_col: str = "text", ranks_path: str = RANKS)
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length L that occurs, taken as context limit: documents and tokens from L up, the share of documents
     of at most L, and the totals that truncation to L keeps and loses."""
-    h = hist.withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    h = common.written(hist, "lengths").withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
