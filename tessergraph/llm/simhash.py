@@ -138,7 +138,9 @@ def links(distinct: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = common.written(sizes, "buckets")
     held = rows.join(sizes.where(F.col("n") <= BUCKET), "key", "left_semi").withColumn("table", table)
-    small = held.groupBy("key").applyInPandas(_links, "a long, b long")
+    # a bucket's work far exceeds its bytes, so a number is stated: else adaptive execution would put many into one task
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = held.repartition(parts, "key").groupBy("key").applyInPandas(_links, "a long, b long")
     crowded = rows.join(sizes.where(F.col("n") > BUCKET), "key", "left_semi").select("fp").distinct()
     ball = crowded.select("fp", F.explode(F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("key"))
     least = ball.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
