@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators, each stage written and read again by whoever runs it.
 
-Quality rules and toxicity drop what they reject, SimHash keeps one document of each class, the secret
-scan redacts what it finds, and the last stage packs the rest into training sequences.
+Quality rules and toxicity drop what they reject, of near copies (five-word
+shingles, Jaccard similarity 0.8 or more) one document stays, the secret scan redacts what it finds, and the last stage
+packs the rest into training sequences.
 Empty tables pass through every stage; rows with null ids are treated as each operator defines.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessergraph.llm import common, packing, quality, secrets, simhash, toxicity
+from tessergraph.llm import common, neardup, packing, quality, secrets, simhash, toxicity
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, neardup.classes)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

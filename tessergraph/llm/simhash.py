@@ -29,7 +29,7 @@ kept, and count as larger than any id; repeated rows and ids share a class.  A v
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -184,8 +184,8 @@ def classes(docs: DataFrame) -> DataFrame:
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each class, all columns.
+def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
+    """The document with the least id of each class, all columns; ``classes`` gives each row's doc_id and component_id.
 
     Rows without an id can't be named and all stay. An id in several rows gives one row, that of the least text.
     """
