@@ -8,6 +8,7 @@ partitions and after a lost executor.  Input ``pairs``: (path_id, start[, end]).
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -48,12 +49,12 @@ def arcs(graph: Graph, directed: bool) -> DataFrame:
     return (e.select(F.col("src").alias("id"), F.col("dst").alias("neighbour")) if directed else graph.undirected()).distinct()
 
 
-def bfs_levels(graph: Graph, starts: DataFrame, directed: bool = True, max_depth: int = 100) -> DataFrame:
-    """(path_id, id, depth) of everything within max_depth of each start."""
+def bfs_levels(graph: Graph, starts: DataFrame, directed: bool = True, max_depth: int | None = 100) -> DataFrame:
+    """(path_id, id, depth) of everything within max_depth of each start; None goes on until nothing new is found."""
     spark = starts.sparkSession
     steps, _ = saved(arcs(graph, directed), "arcs")
     seen, _ = saved(starts.select("path_id", F.col("start").alias("id"), F.lit(0).alias("depth")), "bfs")
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         edge = seen.where(F.col("depth") == depth - 1)
         new = edge.join(steps, "id").select("path_id", F.col("neighbour").alias("id")).distinct().join(seen.select("path_id", "id"), ["path_id", "id"], "left_anti")
         fresh, fresh_at = saved(new.withColumn("depth", F.lit(depth)), "bfs")
