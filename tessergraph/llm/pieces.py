@@ -13,7 +13,7 @@ the last piece, exactly one piece fits at each letter, and the walk gives the li
 
 No piece crosses from a letter to a blank (checked when the model is read), so words are
 independent; punctuation ends a word too where no piece holds it after the character before.  A worker keeps at most ``CACHE`` encoded words; texts of any length are cut into words first
-and a word of any length is walked letter by letter.
+and a word of any length is walked letter by letter, with one reference to a piece held for each letter.
 
 Defined cases.  A null text encodes to null ids and decodes to null; an empty one to no ids and an empty text.
 U+2581 in a text decodes to a blank, as in the library; any other text comes back
@@ -66,12 +66,14 @@ class Pieces:
         p = pb.ModelProto()
         p.ParseFromString(blob)
         spec, norm = p.trainer_spec, p.normalizer_spec
+        if {x.type for x in p.pieces} & {4, 5}:
+            raise ValueError("models with user-defined or unused pieces aren't read: they cut texts by other rules")
         if spec.model_type not in (1, 2) or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or spec.treat_whitespace_as_suffix:
             raise ValueError("only unigram and BPE models with identity normalisation are read")
         self.bpe, self.dummy = spec.model_type == 2, norm.add_dummy_prefix
         self.text = [x.piece for x in p.pieces]
-        self.ids = {x.piece: i for i, x in enumerate(p.pieces) if x.type in (1, 5)}
-        self.score = {x.piece: x.score for x in p.pieces if x.type in (1, 5)}
+        self.ids = {x.piece: i for i, x in enumerate(p.pieces) if x.type == 1}
+        self.score = {x.piece: x.score for x in p.pieces if x.type == 1}
         self.bytes = {int(x.piece[1:-1], 16): i for i, x in enumerate(p.pieces) if x.type == 6}
         self.unknown = next(i for i, x in enumerate(p.pieces) if x.type == 2)
         self.of_byte = {i: b for b, i in self.bytes.items()}
@@ -150,7 +152,7 @@ class Pieces:
                     piece = word[j:i]
                     if piece in ids or j == i - 1:
                         s = ends[j][0] + score.get(piece, self.floor)
-                        if best is None or s > best[0]:
+                        if best is None or s >= best[0]:  # of equal scores the longest last piece, as in the library
                             best = s, piece
                     elif piece not in endings:
                         break  # no longer piece ends like this
@@ -163,14 +165,16 @@ class Pieces:
             yield word, out[::-1]
 
     def bpe_walk(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(word, ids) of sorted distinct words under a BPE model: last piece and ids of a shared prefix are computed once."""
+        """(word, ids) of sorted distinct words under a BPE model: the last pieces of a shared prefix are computed once.
+
+        A letter's state is one piece; ids are gathered backwards from the word's end, a piece at a time.
+        """
         last: list[str] = [""]  # after i letters: the encoding's last piece
-        path: list[tuple[int, ...]] = [()]  # and its ids
         ids, code, pair, stays = self.ids, self.codes.get, self.pairs.get, self.stays
         before = ""
         for word in words:
             n = shared_letters(word, before)
-            del last[n + 1 :], path[n + 1 :]
+            del last[n + 1 :]
             for i in range(n + 1, len(word) + 1):
                 j = i - 1
                 piece = word[j]  # a letter may stand alone; longer ones must be pieces, and exactly one of all fits
@@ -182,12 +186,15 @@ class Pieces:
                     while j >= 0 and (piece := word[j:i]) not in ids:
                         j -= 1
                     if j < 0:
-                        raise ValueError(f"no piece ends {word[:i]!r}: not a BPE vocabulary")
+                        raise ValueError(f"no piece ends {word[:i][-80:]!r}: not a BPE vocabulary")
                 last.append(piece)
-                own = code(piece)
-                path.append(path[j] + (self.numbered([piece]) if own is None else own))
             before = word
-            yield word, path[-1]
+            i, out = len(word), []
+            while i:
+                piece = last[i]
+                out.append(code(piece) or self.numbered([piece]))
+                i -= len(piece)
+            yield word, tuple(chain.from_iterable(reversed(out)))
 
     def coded(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of sorted distinct words."""
