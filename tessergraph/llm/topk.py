@@ -8,20 +8,24 @@ equal it, each task emits only as many smallest ids as are still wanted, which l
 nothing, so a vector that is repeated millions of times stays cheap.
 
 Bounds.  Queries are taken in blocks of at most ``query_block`` rows; one block is what
-is collected and broadcast at a time (2,048 x 64 dimensions: 1 MB).  A task holds one
+is collected and broadcast at a time (2,048 x 64 dimensions: 1 MB), and its broadcasts are destroyed after it.  A task holds one
 histogram (queries of the block x ``BINS`` counts) and one tile of scores.  Vectors are
-never shuffled; a histogram's rows are at most queries x bins per task.
+never shuffled; a histogram's rows are at most queries x bins per task.  A scan reads only ids and vectors,
+and scoring them against a block costs far more than reading them.
 
-Defined cases.  Vectors that are null, empty, or hold null or non-finite components
-take no part, nor do rows with a null id, nor (a long could not hold their scores)
-vectors with a quantised component beyond 2**27.  Scores compare vectors of equal length
-only.  A repeated row counts as often as it occurs as a candidate; a repeated query id
+Exactness.  Scores are whole numbers: products of doubles while every sum stays below 2**53, of longs
+while it stays below 2**62, and of unbounded integers for the rows beyond.
+
+Defined cases.  Vectors that are null, or hold null or non-finite components
+take no part, nor do rows with a null id.  Scores compare vectors of equal length
+only; empty vectors score 0 with each other.  A pair whose score a long can't hold (beyond 2**63 - 1 either way) isn't ranked, the vectors' other pairs are.  A repeated row counts as often as it occurs as a candidate; a repeated query id
 is one query, that of the smallest vector.  Fewer candidates than k: all of them.  Ties go to
 the smaller id.  An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,24 +38,34 @@ from tessergraph.llm import common
 
 BINS = 1024
 TILE = 1024
-LIMIT = 2**27
-#: Marks a query's own row; no real score reaches it.
-OWN = -(2**62)
+#: Marks a pair that isn't ranked: a query's own row, or a score that no long holds.
+OWN = -(2**63)
 
 
-def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): usable rows with components floor(256 * x)."""
+def vectors_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v): usable rows, components as doubles."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    ok = F.col("id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LIMIT / 256))
-    return df.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(ok).select("id", F.transform("x", lambda c: F.floor(c * 256)).alias("v"))
+    ok = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return df.select(F.col(id_col).cast("long").alias("id"), x.alias("v")).where(ok)
+
+
+def floored(m: np.ndarray) -> np.ndarray:
+    """floor(256 x) as doubles, which is exact; infinite only where 256 x exceeds a double."""
+    with np.errstate(over="ignore"):
+        return np.floor(m * 256)
+
+
+def whole(x: float) -> int:
+    """floor(256 x) without bounds."""
+    return int(x) * 256 if abs(x) >= 2.0**53 else math.floor(x * 256)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix) of at most TILE rows, all of one length."""
     for batch in batches:
         ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        lengths = np.diff(column.offsets.to_numpy())
         flat, starts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        lengths = np.diff(starts)
         for n in np.unique(lengths):
             rows = np.flatnonzero(lengths == n)
             for i in range(0, len(rows), TILE):
@@ -59,6 +73,33 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 yield ids[part], flat[starts[part][:, None] + np.arange(n)]
 
 
+def products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Inner products of the floored rows of q and m, exact; OWN where no long holds one."""
+    a, b = floored(q), floored(m)
+    top_a, top_b = np.abs(a).max(initial=0), np.abs(b).max(initial=0)
+    width = max(1, m.shape[1])
+    if top_a * top_b * width < 2.0**53:
+        return (a @ b.T).astype(np.int64)  # exact: every partial sum fits a double
+    if top_a < 2.0**62 and top_b < 2.0**62 and top_a * top_b * width < 2.0**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    out = np.full((len(q), len(m)), OWN, dtype=np.int64)
+    # rows within this bound have products that fit; the others are multiplied as unbounded integers
+    bound = math.isqrt(2**62 // width) - 1
+    big_q, big_m = (np.abs(x).max(1, initial=0) > bound for x in (a, b))
+    out[np.ix_(~big_q, ~big_m)] = a[~big_q].astype(np.int64) @ b[~big_m].astype(np.int64).T
+    exact_m: dict[int, list[int]] = {}
+    for i in range(len(q)):
+        left = [whole(x) for x in q[i]] if big_q[i] or big_m.any() else None
+        for j in range(len(m)) if big_q[i] else np.flatnonzero(big_m):
+            j = int(j)
+            if j not in exact_m:
+                exact_m[j] = [whole(x) for x in m[j]]
+            score = sum(x * y for x, y in zip(left, exact_m[j], strict=True))
+            if abs(score) < 2**63:
+                out[i, j] = score
+    return out
+
+
 class _Block:
     """The queries of one block, grouped by vector length."""
 
@@ -68,19 +109,17 @@ class _Block:
         self.by_length: dict[int, tuple[int, np.ndarray]] = {}
         start = 0
         for n in sorted({len(r.v) for r in rows}):
-            m = np.array([r.v for r in rows if len(r.v) == n], dtype=np.int64)
+            own = [r.v for r in rows if len(r.v) == n]
+            m = np.array(own, dtype=np.float64).reshape(len(own), n)
             self.by_length[n] = (start, m)
             start += len(m)
 
     def scores(self, ids: np.ndarray, m: np.ndarray) -> tuple[int, np.ndarray] | None:
-        """First query's number and scores (queries x rows); own rows hold OWN."""
+        """First query's number and scores (queries x rows); pairs that aren't ranked hold OWN."""
         if m.shape[1] not in self.by_length:
             return None
         start, q = self.by_length[m.shape[1]]
-        if float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * m.shape[1] < 2**53:
-            s = (q.astype(np.float64) @ m.T.astype(np.float64)).astype(np.int64)  # exact: every partial sum fits a double
-        else:
-            s = q @ m.T
+        s = products(q, m)
         own = self.ids[start : start + len(q)]
         order = np.argsort(own)
         at = np.searchsorted(own[order], ids)
@@ -100,9 +139,10 @@ def _counts(block, state):
                 continue
             start, s = found
             n = len(s)
-            off = s - lo[start : start + n, None]
-            keep = (off >= 0) & (off < span[start : start + n, None]) & (s != OWN)
-            at = off // width[start : start + n, None]
+            # unsigned, since the whole range of longs may be spanned; scores below lo wrap beyond it
+            off = s.view(np.uint64) - lo[start : start + n, None].view(np.uint64)
+            keep = (off < span[start : start + n, None]) & (s != OWN)
+            at = (off // width[start : start + n, None]).astype(np.int64)
             keys = (at + (np.arange(start, start + n) * BINS)[:, None])[keep]
             total += np.bincount(keys, minlength=len(total))
         full = np.flatnonzero(total)
@@ -140,23 +180,28 @@ def _winners(block, state):
 def _largest(batches):
     top, n = 0.0, 0
     for _, m in _tiles(batches):
-        top, n = max(top, float((m.astype(np.float64) ** 2).sum(1).max())), n + len(m)
+        with np.errstate(over="ignore"):
+            top, n = max(top, float((floored(m) ** 2).sum(1).max())), n + len(m)
     yield pa.RecordBatch.from_arrays([pa.array([top]), pa.array([n])], ["top", "n"])
 
 
 def _block_result(cands: DataFrame, rows: list, k: int, top: float) -> DataFrame:
+    """The rows that can be among the k best of each query of the block, written."""
     sc = cands.sparkSession.sparkContext
     block = _Block(rows)
     n = len(block.ids)
     bound = np.zeros(n, dtype=np.int64)
     for start, m in block.by_length.values():
-        bound[start : start + len(m)] = np.ceil(np.sqrt((m.astype(np.float64) ** 2).sum(1) * top) * (1 + 1e-9)).astype(np.int64) + 1
-    shared = sc.broadcast(block)
-    lo, span, need = -bound, 2 * bound + 1, np.full(n, k, dtype=np.int64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = np.ceil(np.sqrt((floored(m) ** 2).sum(1)) * np.sqrt(top) * (1 + 1e-9)) + 1
+        bound[start : start + len(m)] = [2**63 - 1 if not x < 2.0**62 else int(x) for x in reach]
+    shared, sent = sc.broadcast(block), []
+    lo, span, need = -bound, 2 * bound.astype(np.uint64) + np.uint64(1), np.full(n, k, dtype=np.int64)
     short = np.zeros(n, dtype=bool)
     while True:
-        width = np.maximum(1, -(-span // BINS))
-        counted = cands.mapInArrow(_counts(shared, sc.broadcast((lo, span, width))), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        width = np.maximum(span // np.uint64(BINS) + (span % np.uint64(BINS) > 0), 1).astype(np.uint64)
+        sent.append(sc.broadcast((lo, span, width)))
+        counted = cands.mapInArrow(_counts(shared, sent[-1]), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("q").orderBy(F.desc("bin"))
         wanted = cands.sparkSession.createDataFrame(pd.DataFrame({"q": np.arange(n, dtype=np.int32), "need": need}))
         seen = counted.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(wanted), "q").where(F.col("upto") - F.col("n") < F.col("need"))
@@ -166,31 +211,34 @@ def _block_result(cands: DataFrame, rows: list, k: int, top: float) -> DataFrame
         lo, need = lo.copy(), need.copy()
         for h in hits:
             found[h.q] = h.b.upto >= h.need
-            lo[h.q] += h.b.bin * width[h.q]
+            lo[h.q] = int(lo[h.q]) + h.b.bin * int(width[h.q])
             need[h.q] -= h.b.above
         short |= ~found
         span = width.copy()
         if (width == 1).all():
             break
-    kth, ties = np.where(short, OWN, lo), np.where(short, 0, need)
-    return cands.mapInArrow(_winners(shared, sc.broadcast((kth, ties))), "query_id long, vec_id long, score long")
+    sent.append(sc.broadcast((np.where(short, OWN, lo), np.where(short, 0, need))))
+    out = common.written(cands.mapInArrow(_winners(shared, sent[-1]), "query_id long, vec_id long, score long"), "topk")
+    for b in (shared, *sent):
+        b.destroy()
+    return out
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows of ``vectors``, its own id left out."""
     spark = vectors.sparkSession
-    cands = quantised(vectors, id_col, vector_col)
-    q = quantised(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
+    cands = vectors_of(vectors, id_col, vector_col)
+    q = vectors_of(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     shape = cands.mapInArrow(_largest, "top double, n long").agg(F.max("top").alias("top"), F.sum("n").alias("n")).first()
     n = q.count()
     blocks = max(1, -(-n // query_block) * 5 // 4 if n > query_block else 1)
+    if blocks > 1:
+        q = common.written(q.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition("b"), "queries")
     results = None
     for i in range(blocks if n and shape.n else 0):
-        rows = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()  # a block: query_block rows or so
+        rows = (q.where(F.col("b") == i) if blocks > 1 else q).collect()  # a block: query_block rows or so
         for at in range(0, len(rows), query_block):
             part = _block_result(cands, rows[at : at + query_block], k, shape.top)
-            if blocks > 1:
-                part = common.written(part, "topk")
             results = part if results is None else results.unionByName(part)
     if results is None:
         results = spark.createDataFrame([], "query_id long, vec_id long, score long")
