@@ -23,7 +23,7 @@ The thresholds are broadcast only if they have at most MAX_STRATA strata, and el
 
 Defined cases.  A null text has no words and fails the base rule.  A null language is a
 stratum of its own.  A document labelled more than once is good only if all its labels
-are.  Labels with a null id or quality are left out; a document with a null id is scored,
+are; an id in several rows is one trial, of its least language and scores.  Good texts that the base rule fails aren't in the guarantee.  Labels with a null id or quality are left out; a document with a null id is scored,
 unlabelled.  Repeated rows are rows of their own.  Empty tables give empty results; without labels only the base rule applies.
 Other columns are ignored by ``judge`` and kept by ``keep_good``.
 """
@@ -96,20 +96,36 @@ def score(rule: str):
     return F.least(F.coalesce(F.expr(f"{top} * 1000 div nullif({bottom}, 0)"), F.lit(0)), F.lit(LAST_BIN)).cast("long")
 
 
+def _at_most(bad: int, n: int, p: float) -> float:
+    """P(X <= bad) of n trials at rate p: the regularised incomplete beta function by its continued fraction."""
+    a, b, x = n - bad, bad + 1, 1 - p
+    if x * (a + b + 2) > a + 1:  # the fraction converges fast on the other side
+        a, b, x = b, a, p
+        swap = True
+    else:
+        swap = False
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d or 1e-300)
+    f = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or 1e-300)
+            c = (1 + step / c) or 1e-300
+            f *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    part = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) * f / a
+    return 1 - part if swap else part
+
+
 def upper_bound(bad: int, n: int, miss: float) -> float:
     """Exact one-sided upper confidence bound on a rate: the p at which P(X <= bad) = miss."""
     if bad >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(bad + 1)]
-
-    def at_most(p: float) -> float:
-        a, b = math.log(p), math.log1p(-p)
-        return math.fsum(math.exp(c + i * a + (n - i) * b) for i, c in enumerate(logs))
-
     lo, hi = max(1e-12, bad / n), 1 - 1e-12
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if at_most(mid) > miss else (lo, mid)
+        lo, hi = (mid, hi) if _at_most(bad, n, mid) > miss else (lo, mid)
     return hi
 
 
@@ -149,7 +165,9 @@ def thresholds(found: DataFrame, labels: DataFrame, alpha: float = 0.04, delta:
             edge = F.when(score(rule) > t, t + 1).otherwise(edge)
         return edge.cast("long").alias(rule)
 
-    scored = found.where(~base_failed()).join(marks, "doc_id").select("lang", *[bin_of(r) for r in RULES], (F.col("quality") == 1).cast("long").alias("g"))
+    # a label is one trial, however many rows have its id
+    first = F.min(F.struct("lang", *[bin_of(r) for r in RULES], (F.col("quality") == 1).cast("long").alias("g"))).alias("first")
+    scored = found.where(~base_failed()).join(marks, "doc_id").groupBy("doc_id").agg(first).select("first.*")
     table = scored.groupBy("lang", *RULES).agg(F.sum("g").alias("good"), F.sum(1 - F.col("g")).alias("poor"))
     strata = max(1, table.select("lang").distinct().count())
     return table.groupBy("lang").applyInPandas(_select(alpha, delta, strata), "lang string, good long, " + ", ".join(f"{r} long" for r in RULES))
