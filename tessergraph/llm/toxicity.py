@@ -12,10 +12,10 @@ Training takes labels only of rows whose crc32(doc_id) mod 3 isn't 1.  Labels, l
 and id are never inputs of a score.  The model is fitted on a sample, by id hash, of about ``SAMPLE``
 labelled rows (all, where there are fewer); features are counted on the executors, and only the at most ``FEATURES`` chosen ones and
 the sample's values for them reach the driver.  Scoring reads every whole text, in one
-pass without a shuffle.  The logit is shifted and scaled so that 0.7 is the cut with the best F1 in training.
+pass without a shuffle.  The logit is shifted so that 0.7 is the cut with the best F1 in training.
 
 Defined cases.  Null and empty texts have no words and get the model's base score.  A document labelled more than once is
-toxic if any label says so; labels with a null id or mark are left out, and so are rows with a null id in training; they are scored,
+toxic if any label says so, and an id in several rows trains with the least of its texts; labels with a null id or mark are left out, and so are rows with a null id in training; they are scored,
 and never held out.  Repeated rows are scored alike.  Without toxic training rows every score is 0.
 An empty table gives an empty result.  Extra columns are ignored by ``scores`` and kept by ``keep_clean``.
 """
@@ -202,8 +202,9 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, sample: int
     if n > sample:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     # a hash takes `sample` rows or so; twice that can't be exceeded but by chance of nil
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks.limit(2 * sample)), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))
-    rows = common.written(own, "labelled")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks.limit(2 * sample)), "doc_id")
+    # an id in several rows is one row of the sample, with the least of its texts
+    rows = common.written(own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", (F.col("toxic") > 0).alias("toxic")), "labelled")
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     pos, neg = totals.get(True, 0), totals.get(False, 0)
     if not pos:
