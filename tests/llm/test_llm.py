@@ -48,6 +48,20 @@ def test_topk_equals_brute_force_with_ties(spark, n, block):
     assert got == brute_topk(vecs, [i for i, _ in vecs if i % 10 == 0], 5)
 
 
+def test_topk_of_huge_and_empty_vectors(spark):
+    vecs = [(10, [600_000.0, 1.0]), (20, [-0.3, 2.0]), (1, [524_288.0, -7.5]), (2, [1e9, 1e9]), (3, [0.5, 0.25]), (30, [3e16, -3e16]), (4, [1e15, 1e15]), (40, [1e30, 0.0]), (5, [0.0, 1e308])]
+    df = spark.createDataFrame([*vecs, (50, []), (6, []), (60, [1.0]), (7, [float("inf"), 0.0])], "vec_id long, embedding array<double>").repartition(2)
+    got = {}
+    for r in topk.exact_topk(df, df.where("vec_id % 10 = 0"), 20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    q = {i: [topk.whole(x) for x in v] for i, v in vecs}
+    for i in (10, 20, 30, 40):
+        scored = [(sum(a * b for a, b in zip(q[i], v, strict=True)), j) for j, v in q.items() if j != i]
+        best = sorted((-s, j) for s, j in scored if abs(s) < 2**63)
+        assert sorted(got[i]) == [(r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got[50] == [(1, 6, 0)] and 60 not in got
+
+
 def test_topk_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.exact_topk(df, df).count() == 0
@@ -80,6 +94,42 @@ def test_binomial_bound_is_exact():
     assert quality.upper_bound(5, 5, 0.01) == 1.0
 
 
+def test_thresholds_equal_brute_force_and_count_a_label_once(spark):
+    rng = random.Random(13)
+    texts, labels = [], []
+    for i in range(1400):
+        bad = i % 10 == 0
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) + ("**" if rng.random() < (0.9 if bad else 0.03) else "") for _ in range(60)]
+        texts.append(" ".join(words))
+        labels.append((i, int(not bad), 0))
+    docs = docs_of(spark, texts)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = docs.unionByName(docs.where("doc_id in (3, 10)").crossJoin(spark.range(300)).drop("id"))
+    rows = quality.judge(docs, marks).collect()
+    assert len(rows) == 2000
+    # brute force: every rule's cutoffs from the loosest to the first that isn't certified, then the best gain
+    f = {i: dict(zip(quality.COUNTS, brute_counts(t), strict=True)) for i, t in enumerate(texts)}
+    score = {r: {i: min(c[a] * 1000 // c[b] if c[b] else 0, quality.LAST_BIN) for i, c in f.items()} for r, (a, b) in quality.RULES.items()}
+    usable = [i for i, c in f.items() if c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"]]
+    good, poor = [i for i in usable if labels[i][1]], [i for i in usable if not labels[i][1]]
+    cut, left = {}, set(usable)
+    for r in quality.RULES:
+        best = (0, None)
+        for t in reversed(quality.GRID):
+            bad = sum(score[r][i] > t for i in good)
+            if bad > 0.01 * len(good) or quality.upper_bound(bad, len(good), 0.05 / 4) > 0.01:
+                break
+            gain = sum(score[r][i] > t for i in poor if i in left) - sum(score[r][i] > t for i in good if i in left)
+            best = max(best, (gain, t), key=lambda x: x[0])
+        cut[r] = best[1]
+        if best[1] is not None:
+            left -= {i for i in left if score[r][i] > best[1]}
+    assert any(c is not None for c in cut.values())
+    for r in rows:
+        want = r.doc_id in usable and not any(c is not None and score[k][r.doc_id] > c for k, c in cut.items())
+        assert r.kept == want
+
+
 def test_quality_rejects_bad_and_keeps_good(spark, tmp_path):
     rng = random.Random(3)
     good = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(1500)]
@@ -121,6 +171,28 @@ def test_pieces_equal_the_library():
     assert own.encode_batch([None]) == [None] and own.decode(None) is None
 
 
+def test_pieces_of_a_million_letters_without_a_blank():
+    import sentencepiece
+
+    with open(pieces.MODEL, "rb") as f:
+        blob = f.read()
+    rng = random.Random(14)
+    text = "".join(rng.choice("abcdeinrst日本語") for _ in range(1_000_000))
+    assert pieces.Pieces(blob).encode_batch([text])[0] == sentencepiece.SentencePieceProcessor(model_proto=blob).encode(text)
+
+
+def test_models_with_user_defined_pieces_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    p = pb.ModelProto()
+    p.trainer_spec.model_type, p.normalizer_spec.remove_extra_whitespaces, p.normalizer_spec.escape_whitespaces = 1, False, True
+    for piece, kind in [("<unk>", 2), ("a", 1), ("<x>", 4)]:
+        x = p.pieces.add()
+        x.piece, x.type = piece, kind
+    with pytest.raises(ValueError):
+        pieces.Pieces(p.SerializeToString())
+
+
 def test_unigram_walk_is_viterbi():
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -270,6 +342,17 @@ def test_shards_equal_brute_force_minimax(spark, prefix, fetch):
     assert max(sum(r.size for r in rs) for rs in by_shard.values()) == best
 
 
+def test_one_huge_group_leaves_no_shard_empty_and_equal_rows_part(spark):
+    texts = ["h" * 2000] * 200 + ["t%d" % i * 20 for i in range(400)]
+    rows = shards.shard(docs_of(spark, texts, ids=[None] * 200 + list(range(400))), 20).collect()
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r.shard].append(r)
+    assert set(held) == set(range(20)) and all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in held.values())
+    sizes = sorted(sum(r.size for r in rs) for rs in held.values())
+    assert sizes[-1] < 200 * 2016 + sizes[-2] and sizes[-2] < 1.4 * sum(sizes[:-1]) / 19
+
+
 def test_shards_empty(spark):
     assert shards.shard(docs_of(spark, ODD).limit(0)).count() == 0
 
@@ -376,7 +459,7 @@ def test_lengths_equal_brute_force(spark):
     with open(lengths.RANKS, "rb") as f:
         enc = lengths.encoder(f.read())
     texts = ODD + ["hello world " * i for i in range(40)] + ["<|endoftext|>"]
-    n = [len(enc.encode_ordinary(t or "")) for t in texts]
+    n = [len(enc.library.encode_ordinary(t or "")) for t in texts]
     sums = lengths.suffix_sums(lengths.histogram(docs_of(spark, texts))).cache()
     rows = {r.n_tokens: r for r in sums.collect()}
     assert set(rows) == set(n)
@@ -391,6 +474,19 @@ def test_lengths_equal_brute_force(spark):
     assert empty.count() == 0 and lengths.quantile(empty, 0.5) is None
 
 
+def test_long_runs_are_encoded_as_the_library_would():
+    with open(lengths.RANKS, "rb") as f:
+        enc = lengths.encoder(f.read())
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(" \n\tab's\xe9\U0001f6001,.\u3000\x1c\xa0\u65e5") for _ in range(rng.randrange(60))) for _ in range(500)]
+    texts += [" " * 5000 + "x y", "ab" * 3000 + " \n z", "q " + "\n" * 4000, "a \n" + "!\x1c" * 2000 + "b"]
+    for t in texts:
+        assert enc.by_chunks(t) == enc.tokens(t) == enc.library.encode_ordinary(t)
+    assert len(enc.tokens(" " * 1_000_000)) == 1_000_000
+    for t in ("\n \t" * 500_000, "a" * 1_000_000, " " * 999_999 + "x"):
+        assert b"".join(map(enc.library.decode_single_token_bytes, enc.tokens(t))) == t.encode()
+
+
 # 10
 
 
