@@ -534,6 +534,61 @@ def test_plan_is_best_fit_when_one_capacity_is_allowed():
         assert plan.bins == brute_best_fit(sizes, (100,))
 
 
+def test_plan_equals_one_by_one_best_fit_with_several_capacities():
+    """Every piece by itself into the fullest bin that holds it; new bins by the price of all permitted sizes."""
+    rng = random.Random(15)
+    caps = (16, 64, 200)
+    opened = set()
+    for trial in range(60):
+        sizes = sorted((rng.randrange(1, rng.choice([12, 60, 201])) for _ in range(rng.randrange(1, 150))), reverse=True)
+        bins = []  # [size, used]
+        for k, n in enumerate(sizes):
+            fit = [b for b in bins if b[0] - b[1] >= n]
+            if not fit:
+                count = sizes[k:].count(n)
+                best = None
+                for c in caps:
+                    if c >= n:
+                        many = -(-count // (c // n))
+                        fill = min(c * many - count * n, sum(x for x in sizes[k + count :] if x <= c - n))
+                        price = packing.default_cost(c) * many / (count * n + fill)
+                        if best is None or price < best[0]:
+                            best = price, c, many
+                opened.add(best[1])
+                fit = [[best[1], 0] for _ in range(best[2])]
+                bins += fit
+            min(fit, key=lambda b: b[0] - b[1])[1] += n
+        plan = packing.Plan(dict(collections.Counter(sizes)), caps)
+        # which of two bins with equal room takes a piece is open; the rooms aren't
+        assert sorted(c - u for c, u in bins) == [room for room, m in plan.spare for _ in range(m)], trial
+        assert sum(u for _, u in bins) == sum(m * u for _, m, u in plan.runs)
+    assert opened == set(caps)
+
+
+def test_packing_tokens_keeps_every_text(spark):
+    texts = ODD + ["日本語😀é " * 400, "a b " * 50]
+    rows = packing.pack_tokens(docs_of(spark, texts), (8, 32), carry=True).collect()
+    with open(lengths.RANKS, "rb") as f:
+        enc = lengths.encoder(f.read())
+    per_doc = collections.defaultdict(list)
+    for r in rows:
+        per_doc[r.doc_id].append(r)
+        assert 1 <= r.n_tokens <= r.capacity
+    for i, t in enumerate(texts):
+        own = sorted(per_doc[i], key=lambda r: r.piece)
+        assert own[0].text is None if t is None else "".join(r.text for r in own) == t
+        assert [r.start for r in own] == [0, *itertools.accumulate(r.n_tokens for r in own)][:-1]
+        assert sum(r.n_tokens for r in own) == len(enc.tokens(t or "")) + 1
+
+
+def test_equal_rows_without_ids_part_into_buckets(spark):
+    df = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "'same text' as text", "1 as salt", "2 as bucket", "3 as bin_id")
+    rows = packing.pack_tokens(df, (8, 64)).groupBy("bin_id", "bin_offset").count().where("count > 1").count()
+    assert rows == 0
+    slots = shards.shard(df, 4).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert [(r[1], r[2]) for r in slots] in ([(9999, 10_000)], [(10_000, 9999)])
+
+
 def test_packing_lengths_from_a_column(spark):
     df = spark.createDataFrame([(1, None), (2, -5), (3, 7)], "doc_id long, n int")
     assert sorted(r.n_tokens for r in packing.pack(df, (4, 8), length_col="n").collect()) == [1, 1, 7]
