@@ -5,13 +5,22 @@ Shingles are compared by their XXH64.  Similar texts are linked; a class is a co
 
 Search.  No radius of a SimHash holds every pair of similarity 0.8, so candidates come from prefixes instead, which
 lose none.  All shingles have one order, rarest first as far as a sample tells (any order is right, the sample only
-saves work).  Two sets of similarity 0.8 share a shingle within the first n - ceil(0.8 n) + 1 of each, and the
-first one they share leaves enough shingles after it in both for the overlap that 0.8 asks for; pairs that fail this
-or whose sizes differ too much are dropped.  Every candidate is verified by its whole sets, in whole numbers.
-
-Large groups.  Equal sets are one.  The members of a bucket (a shared prefix shingle) are first held against
-the one that has the shingle earliest, the text the others were most likely made from, a row each; then buckets whose members are all in one component are left, and in the others all
-pairs of different components are held against each other.  Near copies so cost a row each, not a pair each.
+saves work), and a set of n sends its first 3n/10 + 1 as keys.  If two sets have similarity 0.8, the one whose keys end first
+in that order lacks at most n - 4(n+m)/9 of them in the other, so both hold over n/10 keys of both.  A set with fewer keys
+that any other set has is dropped with its keys, in two rounds: that leaves few but near copies.  In what is left keys are
+ordered anew, rarest first by their counts; the first s - n/10 of a set's s shared keys hold one of each similar set's.
+Every candidate is verified by its whole sets, in whole numbers.
+
+Large groups.  Equal sets are one.  The members of a bucket (a shared key) are first held against
+the one that has the key earliest, the text the others were most likely made from, at most STARS such pairs for a set; then buckets whose members are all in one
+component are left, and in the others members of different components are held against each other.  Near copies so
+cost a row or two each, not a pair each.  Keys that the sample shows in many texts are salted.
+
+Pivot distance tables.  A set's fingerprint has a bit for each shingle's hash modulo its size, set if an odd number of shingles
+hit it, so two fingerprints differ in at most as many bits as the sets in shingles: (n+m)/9 for similar ones.  In a
+bucket, distances to ``PIVOTS`` reference fingerprints are computed once; pairs whose largest coordinate difference
+exceeds that bound are discarded, survivors are held to it by their own distance, and only what is left becomes a
+candidate row.  Buckets of over ``BLOCK`` members are cut into blocks, compared two by two in tasks of their own.
 
 Defined cases.  Null and empty texts, and texts of blanks only, have the empty set and are one class.  Null ids count as
 larger than any id.  An empty table gives an empty result.  Extra columns are ignored.
@@ -31,8 +40,14 @@ from tessergraph.llm import common, simhash
 WIDTH = 5
 #: Texts looked at for the order of shingles, and shingles it may name.
 SAMPLE, COMMON = 10_000, 50_000
-#: Texts whose sets are held at once.
-ROWS = 200
+#: Sampled texts that make a key hot, and the parts such a key is dealt to.
+HOT, SALTS = 100, 64
+#: Pairs by which a set is first held against others.
+STARS = 2
+#: Texts whose sets are held at once, and sets that a task remembers.
+ROWS, SEEN = 200, 1_000_000
+#: Reference fingerprints of a bucket, and members that are compared in one task.
+PIVOTS, BLOCK = 8, 1024
 #: Bits of the filter that tells which texts' sets are wanted again.
 FILTER = 1 << 25
 
@@ -48,6 +63,82 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64)).view(np.int64)
 
 
+def fingerprint(h: np.ndarray) -> bytes:
+    """Parity bits of the hashes; the number of bits is the least power of two over 1.5 times theirs, 64 at least."""
+    size = 64
+    while size < 1.5 * len(h):
+        size *= 2
+    return np.packbits((np.bincount(h & (size - 1), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray) -> np.ndarray:
+    """Fingerprints of half the size: a hash modulo the half hits the same bit as both of the whole's."""
+    half = words.shape[1] // 2
+    return words[:, :half] ^ words[:, half:]
+
+
+def similar_in(sig: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[bytes], across: bool) -> list[tuple[int, int]]:
+    """Pairs of a bucket's members that can be similar: of different roots and, if ``across``, different sides."""
+    out, sizes = [], np.array(list(map(len, bits)))
+    for size in np.unique(sizes):
+        own, wider = np.flatnonzero(sizes == size), np.flatnonzero(sizes == 2 * size)
+        words = np.frombuffer(b"".join(bits[i] for i in own), dtype=np.uint64).reshape(len(own), -1)
+        if len(wider):
+            wide = np.frombuffer(b"".join(bits[i] for i in wider), dtype=np.uint64).reshape(len(wider), -1)
+            words = np.concatenate([words, _folded(wide)])
+        rows = np.concatenate([own, wider])
+        if len(rows) < 2:
+            continue
+        pivots = words[:: -(-len(rows) // PIVOTS)]
+        table = np.stack([np.bitwise_count(words ^ p).sum(1, dtype=np.int32) for p in pivots], axis=1)
+        order = np.argsort(table[:, 0], kind="stable")
+        rows, words, table = rows[order], words[order], table[order]
+        narrow = sizes[rows] == size
+        m, c, s = n[rows].astype(np.int64), root[rows], side[rows]
+        # a similar set has at most 5/4 of the size, so at most n/4 shingles differ
+        ends = np.searchsorted(table[:, 0], table[:, 0] + m // 4, side="right")
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, max(i + 1, ends[i]))
+            j = j[(c[j] != c[i]) & (narrow[j] | narrow[i]) & (5 * np.minimum(m[j], m[i]) >= 4 * np.maximum(m[j], m[i]))]
+            if across:
+                j = j[s[j] != s[i]]
+            j = j[9 * np.abs(table[j] - table[i]).max(1, initial=0) <= m[j] + m[i]]
+            j = j[9 * np.bitwise_count(words[j] ^ words[i]).sum(1, dtype=np.int64) <= m[j] + m[i]]
+            x = int(sig[rows[i]])
+            out += [(min(x, y), max(x, y)) for y in sig[rows[j]].tolist()]
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) from rows sorted by (key, i, j), the columns of a bucket's part."""
+
+    def pairs_of(t: pa.Table) -> list[tuple[int, int]]:
+        if len(t) < 2:
+            return []
+        sig, n, root, side = (t.column(x).to_numpy() for x in ("sig", "n", "root", "side"))
+        return similar_in(sig, n, root, side, t.column("bits").to_pylist(), t.column("i")[0].as_py() != t.column("j")[0].as_py())
+
+    def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+        if not len(t):
+            continue
+        ids = [t.column(x).to_numpy() for x in ("key", "i", "j")]
+        starts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+        found, at = [], 0
+        for end in starts.tolist():
+            found += pairs_of(t.slice(at, end - at))
+            at = end
+        rest = t.slice(at)
+        yield batch_of(sorted(set(found)))
+    if rest is not None:
+        yield batch_of(sorted(set(pairs_of(rest))))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
 
@@ -61,7 +152,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()))], ["h"])
 
     step = -(-max(1, docs.count()) // SAMPLE)
-    some = _texts(docs).where(F.pmod("text_key", F.lit(step)) == 0).select("text")
+    some = _texts(docs).where(F.pmod("text_key", F.lit(step)) == 0).dropDuplicates(["text_key"]).select("text")
     counts = some.mapInArrow(listed, "h long").groupBy("h").count().where("count > 2")
     rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
     rows.sort(key=lambda r: r.h)
@@ -69,25 +160,41 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, sig, n, prefix): of each text's set a hash, the size and the first shingles in the common order."""
+    """(doc_id, text_key, sig, n, hot, keys, bits): of each text's set a hash, the size, the first shingles in the common
+    order, the last ``hot`` of them hot, and the fingerprint.  A set that the task has seen sends no keys again."""
     names, counts = _frequent(docs)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        seen: set[int] = set()
         for b in batches:
-            sigs, sizes, prefixes = [], [], []
+            sigs, sizes, hot, keys, bits = [], [], [], [], []
             for t in b.column(1):
                 h = shingles(t.as_py())
                 sigs.append(simhash._signed(xxhash.xxh3_64_intdigest(h.tobytes())))
                 sizes.append(len(h))
-                if len(names) and len(h):
-                    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                    h = h[np.argsort(np.where(names[at] == h, counts[at], 0), kind="stable")]
-                prefixes.append(h[: len(h) // 5 + 1].copy())  # n - ceil(0.8 n) + 1
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), _lists(prefixes)], ["doc_id", "text_key", "sig", "n", "prefix"])
-
-    return _texts(docs).mapInArrow(ordered, "doc_id long, text_key long, sig long, n int, prefix array<long>")
+                often = 0
+                if len(seen) >= SEEN:
+                    seen.clear()
+                if sigs[-1] in seen or not len(h):
+                    h = h[:0]
+                    bits.append(None)
+                else:
+                    seen.add(sigs[-1])
+                    bits.append(fingerprint(h))
+                    first = 3 * len(h) // 10 + 1
+                    if len(names):
+                        at = np.minimum(np.searchsorted(names, h.view(np.int64)), len(names) - 1)
+                        found = np.where(names[at] == h, counts[at], 0)
+                        order = np.argsort(found, kind="stable")[:first]
+                        h, often = h[order], int((found[order] >= HOT).sum())
+                    h = h[:first].copy()
+                keys.append(h)
+                hot.append(often)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hot, pa.int32()), _lists(keys), pa.array(bits, pa.binary())], ["doc_id", "text_key", "sig", "n", "hot", "keys", "bits"])
+
+    return _texts(docs).mapInArrow(ordered, "doc_id long, text_key long, sig long, n int, hot int, keys array<long>, bits binary")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -121,9 +228,9 @@ def _whole(docs: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
 
 
-def _may(n: Column, at: Column, m: Column, at_m: Column) -> Column:
-    """Whether sets of n and m, whose first common shingle is at these places, can reach 0.8: 9 overlap >= 4 (n + m)."""
-    return F.least(n - at, m - at_m) * 9 >= (n + m) * 4
+def _sizes(n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can have similarity 0.8."""
+    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -139,33 +246,57 @@ def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+#: A hot key's members are dealt to parts; every part counts as shared.
+PART = ("key", "salt")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, sig, n, at, hot, salt, df) of the keys that several sets have, of sets with enough of them to be similar to any."""
+    w = Window.partitionBy(*PART)
+    both = rows.withColumn("lo", F.min("sig").over(w)).withColumn("hi", F.max("sig").over(w)).withColumn("df", F.when(F.col("hot"), F.lit(1 << 40)).otherwise(F.count("*").over(w)))
+    both, at = common.stored(both.where("hot OR lo <> hi").drop("lo", "hi").dropDuplicates([*PART, "sig"]), "shared")
+    enough = both.groupBy("sig").agg(F.count("*").alias("c"), F.min("n").alias("n")).where("c > n div 10").select("sig")
+    out = common.written(both.join(enough, "sig", "left_semi"), "shared")
+    common.remove(rows.sparkSession, at)
+    return out
+
+
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b): links enough to connect every class of the sets ``found`` of the texts, by their ``sig``."""
-    keys = found.where("n > 0").select("sig", "n", F.posexplode("prefix").alias("at", "key"))
-    w = Window.partitionBy("key")
-    me = F.struct("at", "n", "sig")  # the member with the least of its own before the shingle
-    shared = keys.withColumn("head", F.min(me).over(w)).withColumn("low", F.min("sig").over(w)).withColumn("high", F.max("sig").over(w)).where("low <> high").drop("low", "high")
-    shared = common.written(shared.dropDuplicates(["key", "sig"]), "shared")
-    near_head = _may(F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"))
-    stars = shared.where(near_head).where("sig <> head.sig").select(F.least("head.sig", "sig").alias("a"), F.greatest("head.sig", "sig").alias("b")).distinct()
+    keys = found.select("sig", "n", (F.size("keys") - F.col("hot")).alias("rare"), F.posexplode("keys").alias("at", "key")).withColumn("hot", F.col("at") >= F.col("rare")).drop("rare")
+    keys = keys.withColumn("salt", F.when(F.col("hot"), F.pmod("sig", F.lit(SALTS))).otherwise(0).cast("int"))
+    shared = _shared(_shared(keys).drop("df"))
+    # a pair for each other member and the one with the least of its own before the key
+    heads = shared.groupBy("key").agg(F.min(F.struct("at", "n", "sig")).alias("head"))
+    near = shared.join(heads, "key").where("sig <> head.sig").where(_sizes(F.col("n"), F.col("head.n")))
+    best = Window.partitionBy("b").orderBy(F.desc("c"), "a")
+    stars = near.groupBy(F.col("head.sig").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("c")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= STARS)
+    stars = common.written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
     first = _verified(stars, docs, found)
     roots = simhash.components(first).select(F.col("v").alias("sig"), "root")
-    placed = shared.drop("head").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = placed.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low <> high").drop("low", "high")
-    mixed = common.written(mixed, "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root"))
-    cross = cross & _may(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    pairs = x.join(y, cross).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    # of a set's s shared keys the first s - n div 10, rarest first, hold one of each similar set's
+    own = Window.partitionBy("sig")
+    rare = shared.withColumn("r", F.row_number().over(own.orderBy("df", "key"))).withColumn("s", F.count("*").over(own)).where("r <= s - n div 10").select("key", "sig", "n")
+    placed = common.written(rare.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks")
+    mixed = placed.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("sig"), "blocks").cast("int"))
+    mixed = mixed.join(found.where("bits IS NOT NULL").groupBy("sig").agg(F.first("bits").alias("bits")), "sig")
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = mixed.select("key", "i", "j", "sig", "n", "root", "side", "bits").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = dealt.mapInArrow(_compared, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     return first.unionByName(_verified(pairs, docs, found))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig, component_id) for each row, component_id being the least id of its class."""
-    found = common.written(sets(docs), "sets")
-    distinct = common.written(found.groupBy("sig").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = simhash.components(links(docs, found))
-    placed = distinct.join(roots, distinct.sig == roots.v, "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
+    """(doc_id, text_key, sig, root, component_id) for each row: root tells its class, component_id is the class's least id."""
+    found, at = common.stored(sets(docs), "sets")
+    edges = links(docs, found)
+    found_now = common.written(found.select("doc_id", "text_key", "sig"), "texts")
+    common.remove(docs.sparkSession, at)
+    roots = simhash.components(edges)
+    distinct = found_now.groupBy("sig").agg(F.min("doc_id").alias("least"))
+    placed = common.written(distinct.join(roots, distinct.sig == roots.v, "left").select("sig", F.coalesce("root", "sig").alias("root"), "least"), "placed")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.written(placed.join(ids, "root").select("sig", "component_id"), "named")
-    return found.select("doc_id", "sig").join(named, "sig").select("doc_id", "sig", "component_id")
+    named = common.written(placed.join(ids, "root").select("sig", "root", "component_id"), "named")
+    return found_now.join(named, "sig").select("doc_id", "text_key", "sig", "root", "component_id")

@@ -14,17 +14,18 @@ pairs whose largest coordinate difference exceeds 2 are discarded, and survivors
 their true distance.  A bucket emits a spanning forest of its links (fewer rows than
 members), never its pairs.
 
-Buckets with more than ``BUCKET`` distinct fingerprints are not compared pairwise.  Their
-members go to the 65 keys of their 1-bit neighbourhood; two fingerprints are within 2 bits exactly
-if they share such a key, and no key has more than 65 of them.  So dense clusters stay
-linear and no link is lost.
+Buckets with more than ``BUCKET`` distinct fingerprints are first cut by their pivot distances: a row goes to the ranges
+of ``RANGE`` distances of its first two pivots, and to the range below where it lies in the first 2, so a linked pair always shares
+one.  Two pivots can't cut everything: parts that still hold over ``LARGE`` rows go to the 65 keys of their members' 1-bit neighbourhood; two
+fingerprints are within 2 bits exactly if they share such a key, and no key has more than 65 of them.  So no task
+holds more than ``LARGE`` fingerprints of a bucket and no link is lost.
 
 Components: alternating large-star and small-star rounds over the links of distinct
 fingerprints, each round written to the shared folder.
 
 Defined cases.  Null and empty texts, and texts of blanks only, have fingerprint zero and are linked like any other.  Null ids are
 kept, and count as larger than any id; repeated rows and ids share a class.  A very long text is hashed in slices of
-``SLICE`` shingles.  An empty table gives an empty result.  Extra columns are ignored by ``classes``, kept by ``one_of_each``.
+``SLICE`` shingles.  An empty table gives an empty result.  Extra columns, whatever their names, are ignored by ``classes``, kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessergraph.llm import common
@@ -42,6 +43,10 @@ from tessergraph.llm import common
 RADIUS = 2
 PIVOTS = 16
 BUCKET = 256
+#: Rows of a bucket's part that a task holds, and distances that a part spans besides the overlap.
+LARGE, RANGE = 16_384, 3
+#: Rows that a task of ``one_of_each`` remembers.
+SEEN = 500_000
 SLICE = 65_536
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -76,12 +81,13 @@ def _signed(x: int) -> int:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(fingerprint(t.as_py())) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_signed(fingerprint(t.as_py())) for t in b.column(1)], pa.int64())], ["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_prints, "doc_id long, fp long")
+    """(doc_id, text_key, fp): fp holds the fingerprint's 64 bits as a long, text_key is a hash of the text."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return d.mapInArrow(_prints, "doc_id long, text_key long, fp long")
 
 
 def linked_in_bucket(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -126,6 +132,12 @@ def _shift(x, n: int):
     return F.shiftrightunsigned(x, n).bitwiseAND(F.lit(0xFFFF))
 
 
+def _ranges(distance: Column) -> Column:
+    """The ranges of RANGE distances that a row belongs to: its own, and the one below if it lies in the first RADIUS of its own."""
+    own = F.floor(distance / RANGE).cast("int")
+    return F.when(distance % RANGE < RADIUS, F.array(own, own - 1)).otherwise(F.array(own))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links enough to connect every class of the distinct fingerprints ``fp``."""
     fp = F.col("fp")
@@ -133,19 +145,23 @@ def links(distinct: DataFrame) -> DataFrame:
     # a distance takes one byte of the packed table
     table = F.unhex(F.concat(*[F.lpad(F.hex(d.cast("long")), 2, "0") for d in distances]))
     pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = [F.struct(F.lit(k).alias("k"), (F.shiftleft(_shift(fp, 16 * i), 16) + _shift(fp, 16 * j)).alias("v")) for k, (i, j) in enumerate(pairs)]
+    uncut = [F.lit(-9).alias("s"), F.lit(-9).alias("t")]
+    keys = [F.struct(F.lit(k).alias("k"), (F.shiftleft(_shift(fp, 16 * i), 16) + _shift(fp, 16 * j)).alias("v"), *uncut) for k, (i, j) in enumerate(pairs)]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = common.written(sizes, "buckets")
-    held = rows.join(sizes.where(F.col("n") <= BUCKET), "key", "left_semi").withColumn("table", table)
+    sizes = common.written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    held = rows.join(sizes.where(F.col("n") <= BUCKET), "key", "left_semi")
+    crowded = rows.join(sizes.where(F.col("n") > BUCKET), "key", "left_semi")
+    cut = crowded.select("fp", "key", F.explode(_ranges(distances[0].cast("int"))).alias("s")).select("fp", "key", "s", F.explode(_ranges(distances[1].cast("int"))).alias("t"))
+    cut = common.written(cut.select("fp", F.struct("key.k", "key.v", "s", "t").alias("key")), "cut")
+    parts_of = common.written(cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "parts")
+    held = held.unionByName(cut.join(parts_of.where(F.col("n") <= LARGE), "key", "left_semi")).withColumn("table", table)
     # a bucket's work far exceeds its bytes, so a number is stated: else adaptive execution would put many into one task
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = held.repartition(parts, "key").groupBy("key").applyInPandas(_links, "a long, b long")
-    crowded = rows.join(sizes.where(F.col("n") > BUCKET), "key", "left_semi").select("fp").distinct()
-    ball = crowded.select("fp", F.explode(F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("key"))
+    dense = cut.join(parts_of.where(F.col("n") > LARGE), "key", "left_semi").select("fp").distinct()
+    ball = dense.select("fp", F.explode(F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("key"))
     least = ball.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    dense = ball.join(least, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    return small.unionByName(dense)
+    return small.unionByName(ball.join(least, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,26 +190,41 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row."""
+    """(doc_id, text_key, fp, root, component_id) for each row: root tells its class, component_id is the class's least id."""
     found = common.written(fingerprints(docs), "prints")
     distinct = common.written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp")))
-    placed = distinct.join(roots, distinct.fp == roots.v, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    placed = common.written(distinct.join(roots, distinct.fp == roots.v, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "placed")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = common.written(placed.join(ids, "root").select("fp", "component_id"), "named")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = common.written(placed.join(ids, "root").select("fp", "root", "component_id"), "named")
+    return found.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose (id, text_key) the task hasn't had before, as far as it remembers."""
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        fresh = []
+        for pair in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            fresh.append(pair not in seen)
+            seen.add(pair)
+        if len(seen) > SEEN:
+            seen.clear()
+        yield b.filter(pa.array(fresh, pa.bool_()))
 
 
 def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = classes) -> DataFrame:
-    """The document with the least id of each class, all columns; ``classes`` gives each row's doc_id and component_id.
+    """Of each class the document with the least id, all columns; ``classes`` gives each row's doc_id, text_key and root.
 
-    Rows without an id can't be named and all stay. An id in several rows gives one row, that of the least text.
+    Rows without an id can't be named and all stay. Of an id with several texts in one class one text stays, of rows
+    with equal id and text one row. Tasks drop such repeats before texts are shuffled, once, by id and text.
     """
     named = docs.where("doc_id IS NOT NULL")
-    keep = classes(named).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = named.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    one = kept.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    keep = classes(named).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_key").alias("text_key"))
+    own = named.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    kept = own.mapInArrow(_once, own.schema).join(keep, ["id", "text_key"], "left_semi")
+    w = Window.partitionBy("id", "text_key").orderBy("id")
+    one = kept.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row.*")
     return one.unionByName(docs.where("doc_id IS NULL"))
 
 

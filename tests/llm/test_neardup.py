@@ -52,8 +52,29 @@ def test_stage_keeps_one_of_each_class_of_near_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_pivot_tables_discard_no_similar_pair():
+    rng = random.Random(8)
+    np = neardup.np
+    for trial in range(40):
+        base = np.array([rng.getrandbits(63) for _ in range(rng.choice([3, 9, 40, 90, 400]))], dtype=np.int64)
+        made = []
+        for _ in range(30):
+            keep = base[[rng.random() > rng.choice([0, 0.05, 0.15, 0.3]) for _ in base]]
+            made.append(np.unique(np.concatenate([keep, np.array([rng.getrandbits(63) for _ in range(rng.randrange(1 + len(base) // 5))], dtype=np.int64)])))
+        made = [h for h in made if len(h)]
+        sizes, ids = np.array([len(h) for h in made]), np.arange(len(made))
+        side = ids % 2
+        want = {(i, j) for i in ids for j in ids if i < j and 5 * len(np.intersect1d(made[i], made[j])) >= 4 * len(np.union1d(made[i], made[j]))}
+        bits = [neardup.fingerprint(h) for h in made]
+        assert want <= set(neardup.similar_in(ids, sizes, ids, side, bits, False))
+        assert {(i, j) for i, j in want if side[i] != side[j]} <= set(neardup.similar_in(ids, sizes, ids, side, bits, True))
+
+
 def test_the_order_of_shingles_changes_nothing(spark, monkeypatch):
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(neardup, "COMMON", 3)
+    monkeypatch.setattr(neardup, "HOT", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "STARS", 0)
     assert {r.doc_id: r.component_id for r in neardup.classes(docs).collect()} == dict(enumerate(brute(texts)))
