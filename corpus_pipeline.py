@@ -2,7 +2,7 @@
 
 Quality rules and toxicity drop what they reject, of near copies (five-word
 shingles, Jaccard similarity 0.8 or more) one document stays, the secret scan redacts what it finds, and the last stage
-packs the rest into training sequences.
+packs the rest into training sequences, with the redacted text of each piece.
 Empty tables pass through every stage; rows with null ids are treated as each operator defines.
 """
 
@@ -34,7 +34,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack_tokens(docs, carry=True)
 
 
 STAGES = [
@@ -50,7 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Every stage's output is written; what a stage stored on its way, and what the next one has read, is deleted."""
+    docs, was = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = common.shared_path(spark, name.replace(" ", "-"))
+        with common.scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+            docs = spark.read.schema(out.schema).parquet(path)
+        if was:
+            common.remove(spark, was)
+        was = path
     return docs
