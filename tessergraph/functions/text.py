@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed values, in the order in which they are tried.
 SEPARATORS = (". ", "? ", "! ", "\n\n", "\n", " ")
-#: Dollars per 1,000 tokens: model family, input, output.
-PRICES = (("gpt-4o-mini", 0.00015, 0.0006), ("gpt-4o", 0.0025, 0.01), ("o1-mini", 0.003, 0.012))
+#: Fixed values. Dollars per 1,000 tokens: model, input, output.
+PRICES = (("gpt-4o-mini", 0.00015, 0.0006), ("gpt-4o", 0.0025, 0.01), ("o3-mini", 0.0011, 0.0022))
+#: Fixed values. The texts that an item can be chunked by.
+GETTERS = ("full_text", "clean_full_text", "sections", "clean_sections")
 
 
 def word_count(text: str) -> int:
@@ -91,6 +94,37 @@ def chunk_arrays(items: DataFrame) -> DataFrame:
     return rows.select("item_id", "pos", F.concat_ws("_", "item_id", F.col("pos").cast("string")).alias("chunk_id"), "text")
 
 
+def chosen_text(items: DataFrame, getter: str = "full_text", id_col: str = "item_id") -> DataFrame:
+    """(item_id, chunks) by one of GETTERS: a text is one chunk, a column of sections is as many."""
+    if getter not in GETTERS:
+        raise ValueError(f"unknown text {getter!r}; known: {', '.join(GETTERS)}")
+    own = F.col(getter)
+    own = own if getter.endswith("sections") else F.when(own.isNotNull(), F.array(own))
+    return items.select(F.col(id_col).cast("string").alias("item_id"), own.alias("chunks"))
+
+
+#: Fixed value: how byte-level vocabularies cut a text before merging.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def token_counter(ranks_path: str, pattern: str = SPLIT) -> Callable[[str], int]:
+    """A length function that counts the tokens of a rank file's vocabulary; it travels to the executors as the file's bytes."""
+    import base64
+
+    with open(ranks_path, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f.read().splitlines() if x)}
+    made: list = []
+
+    def count(text: str) -> int:
+        if not made:
+            import tiktoken
+
+            made.append(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}))
+        return len(made[0].encode_ordinary(text))
+
+    return count
+
+
 def sections(text: Column) -> Column:
     """Non-empty blocks between blank lines."""
     return F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -127,8 +161,8 @@ def decision(reply: Column) -> Column:
 
 
 def message_cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    """Dollars, to four places; 0 for a model without a price. The longest family name that fits decides."""
-    cost = F.lit(0.0)
-    for family, price_in, price_out in sorted(PRICES, key=lambda p: len(p[0])):
-        cost = F.when(F.startswith(model, F.lit(family)), F.round(tokens_in / 1000 * price_in + tokens_out / 1000 * price_out, 4)).otherwise(cost)
+    """Dollars, to four places; 0 for a model without a price. What follows -20 in a model's name is its date."""
+    cost, name = F.lit(0.0), F.substring_index(model, "-20", 1)
+    for known, price_in, price_out in PRICES:
+        cost = F.when(name == known, F.round(tokens_in / 1000 * price_in + tokens_out / 1000 * price_out, 4)).otherwise(cost)
     return cost

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessergraph import schema
 from tessergraph.functions.cypher import edge_text
 from tessergraph.operators.triplets import Triplets, merge_maps
+from tessergraph.runtime import saved
 
 KEY = list(schema.EDGE_KEY)
 
@@ -39,8 +40,26 @@ class Graph:
 
     @classmethod
     def build(cls, *triplets: Triplets, domain: str | None = None) -> Graph:
+        """Nodes, edges and provenance of triplets, one after the other; nothing is there to be merged with, so each is one aggregation."""
         first, *rest = triplets
-        return cls.empty(first.df.sparkSession, domain).add_triplets(first.union(*rest) if rest else first)
+        sources = (first.union(*rest) if rest else first).sources()
+        tags, none = F.array(F.lit(domain)) if domain else F.array().cast("array<string>"), F.create_map().cast(schema.MAP)
+        nodes = sources.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", tags.alias("domains"), none.alias("attrs"))
+        edges = sources.groupBy(*KEY).agg(F.max("ord").alias("ord")).select(*KEY, tags.alias("domains"), none.alias("attrs"), "ord")
+        return cls(nodes, edges, sources, domain)
+
+    @classmethod
+    def tagged(cls, rows: DataFrame, tag: str = "tag", domain: str | None = None) -> Graph:
+        """The graph of rows in the TRIPLET layout whose domain is in a column; a node or edge has all domains it occurs in."""
+        none, sources = F.create_map().cast(schema.MAP), Triplets(rows).sources()
+        all_tags = F.array_sort(F.collect_set(tag)).alias("domains")
+        nodes = rows.select(F.explode(F.array("node_1", "node_2")).alias("id"), tag).groupBy("id").agg(all_tags).select("id", "domains", none.alias("attrs"))
+        edges = rows.groupBy(F.col("node_1").alias("src"), F.col("edge").alias("relation"), F.col("node_2").alias("dst")).agg(all_tags, F.max("triplet_ord").alias("ord"))
+        return cls(nodes, edges.select(*KEY, "domains", none.alias("attrs"), "ord"), sources, domain)
+
+    def stored(self) -> Graph:
+        """Nodes and edges as tables in the shared folder, for operators that read them several times."""
+        return replace(self, nodes=saved(self.nodes, "nodes")[0], edges=saved(self.edges, "edges")[0])
 
     def tags(self) -> Column:
         return F.array(F.lit(self.domain)) if self.domain else F.array().cast("array<string>")
@@ -94,14 +113,16 @@ class Graph:
     def contract(self, mapping: DataFrame, first_relation: bool = False) -> Graph:
         """Replace every id of mapping (id, canonical) by its canonical node.
 
-        Relations and all provenance stay; edges between members become self-loops.  first_relation keeps
+        Relations and all provenance stay; edges between members become self-loops.  Attributes are united: of a
+        node by the members' names, the canonical's own winning, of an edge by ordinal, the last winning.  first_relation keeps
         only the first relation of each resulting pair, with all of the pair's provenance.
         """
         m = mapping.select("id", "canonical").where("id <> canonical")
         to = lambda df, c: df.join(m.select(F.col("id").alias(c), F.col("canonical").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-        nodes = to(self.nodes, "id").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains"), F.max_by("attrs", F.size("attrs")).alias("attrs"))
+        members = to(self.nodes.withColumn("member", F.col("id")), "id")
+        nodes = members.groupBy("id").agg(_domains(), _united((F.col("member") == F.col("id")).alias("own"), "member"))
         edges, sources = to(to(self.edges, "src"), "dst"), to(to(self.sources, "src"), "dst")
-        edges = edges.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains"), F.max_by("attrs", "ord").alias("attrs"), F.min("ord").alias("ord"))
+        edges = edges.groupBy(*KEY).agg(_domains(), _united("ord"), F.min("ord").alias("ord"))
         if first_relation:
             first = edges.groupBy("src", "dst").agg(F.min_by("relation", F.struct("ord", "relation")).alias("_first"))
             edges = edges.join(first, ["src", "dst"]).where("relation = _first").select(*self.edges.columns)
@@ -145,6 +166,16 @@ class Graph:
     def relations(self) -> DataFrame:
         return self.edge_rows().select("relation").distinct()
 
+    def relation_rollup(self) -> DataFrame:
+        """(domain, relation, edges, sources_about) with totals per domain and over all (nulls): edges, and about how many distinct sources."""
+        each = self.edge_rows().select(F.explode_outer("domains").alias("domain"), "relation", "src")
+        return each.rollup("domain", "relation").agg(F.count("*").alias("edges"), F.approx_count_distinct("src").alias("sources_about"))
+
+    def random_node(self, seed: int = 0) -> str | None:
+        """A node drawn by hash; None from an empty graph."""
+        found = self.node_rows().select("id").orderBy(pick(seed, "id"), "id").first()
+        return found.id if found else None
+
     def number_of_nodes(self) -> int:
         return self.node_rows().count()
 
@@ -237,9 +268,16 @@ def merge_edges_into(old: DataFrame, new: DataFrame) -> DataFrame:
     return _merged(both, KEY, F.max("ord").alias("ord")).select(*KEY, "domains", "attrs", "ord")
 
 
+def _domains() -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains")
+
+
+def _united(*order) -> Column:
+    """Attributes of a group in one map; of a name's values the last in the order counts. Rows without any aren't gathered."""
+    own = F.collect_list(F.when(F.size("attrs") > 0, F.struct(*order, F.map_entries("attrs").alias("e"))))
+    return F.aggregate(F.array_sort(own), F.create_map().cast(schema.MAP), lambda a, x: merge_maps(a, F.map_from_entries(x["e"]))).alias("attrs")
+
+
 def _merged(both: DataFrame, key: list[str], *more: Column) -> DataFrame:
     """A union and one aggregation with map-side partials, in place of a full outer join. Rows of one key are few: one per write."""
-    attrs = F.array_sort(F.collect_list(F.struct("_new", F.map_entries("attrs").alias("e"))))
-    flat = F.aggregate(attrs, F.create_map().cast(schema.MAP), lambda a, x: merge_maps(a, F.map_from_entries(x["e"])))
-    domains = F.array_sort(F.array_distinct(F.flatten(F.collect_list("domains"))))
-    return both.groupBy(*key).agg(domains.alias("domains"), flat.alias("attrs"), *more)
+    return both.groupBy(*key).agg(_domains(), _united("_new"), *more)

@@ -49,24 +49,31 @@ def arcs(graph: Graph, directed: bool) -> DataFrame:
     return (e.select(F.col("src").alias("id"), F.col("dst").alias("neighbour")) if directed else graph.undirected()).distinct()
 
 
-def bfs_levels(graph: Graph, starts: DataFrame, directed: bool = True, max_depth: int | None = 100) -> DataFrame:
+def _rounds(limit: int | None) -> Iterator[int]:
+    """1, 2, ... to the limit, or without end: searches stop by themselves when nothing new is found."""
+    return itertools.count(1) if limit is None else iter(range(1, limit + 1))
+
+
+def bfs_levels(graph: Graph, starts: DataFrame, directed: bool = True, max_depth: int | None = None) -> DataFrame:
     """(path_id, id, depth) of everything within max_depth of each start; None goes on until nothing new is found."""
     spark = starts.sparkSession
     steps, _ = saved(arcs(graph, directed), "arcs")
-    seen, _ = saved(starts.select("path_id", F.col("start").alias("id"), F.lit(0).alias("depth")), "bfs")
-    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
+    seen, at = saved(starts.select("path_id", F.col("start").alias("id"), F.lit(0).alias("depth")), "bfs")
+    tables = [at]
+    for depth in _rounds(max_depth):
         edge = seen.where(F.col("depth") == depth - 1)
         new = edge.join(steps, "id").select("path_id", F.col("neighbour").alias("id")).distinct().join(seen.select("path_id", "id"), ["path_id", "id"], "left_anti")
         fresh, fresh_at = saved(new.withColumn("depth", F.lit(depth)), "bfs")
         if fresh.isEmpty():
             delete(spark, fresh_at)
             break
-        # a level is appended as files of its own; nothing that was found is written again
-        seen = seen.unionByName(fresh)
+        # a level is a table of its own; nothing that was found is written again, and one scan reads them all, so the plan doesn't grow
+        tables.append(fresh_at)
+        seen = spark.read.schema(seen.schema).parquet(*tables)
     return seen
 
 
-def shortest_paths(graph: Graph, pairs: DataFrame, directed: bool = True, max_depth: int = 100) -> DataFrame:
+def shortest_paths(graph: Graph, pairs: DataFrame, directed: bool = True, max_depth: int | None = None) -> DataFrame:
     """A shortest path for each pair that has one; among equals, the one through the least names from the end backwards.
 
     Levels keep one parent per node; paths are read back from the ends, a join per hop.
@@ -74,9 +81,10 @@ def shortest_paths(graph: Graph, pairs: DataFrame, directed: bool = True, max_de
     spark = pairs.sparkSession
     steps, _ = saved(arcs(graph, directed), "arcs")
     want, _ = saved(pairs.select("path_id", "start", "end"), "pairs")
-    seen, _ = saved(want.select("path_id", F.col("start").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")), "bfs")
+    seen, at = saved(want.select("path_id", F.col("start").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")), "bfs")
+    tables = [at]
     ends = want.select("path_id", F.col("end").alias("id"))
-    for depth in range(1, max_depth + 1):
+    for depth in _rounds(max_depth):
         # a pair whose end has been reached sends nothing more
         reached = seen.join(ends, ["path_id", "id"], "left_semi").select("path_id").distinct()
         edge = seen.where(F.col("depth") == depth - 1).join(reached, "path_id", "left_anti")
@@ -86,7 +94,8 @@ def shortest_paths(graph: Graph, pairs: DataFrame, directed: bool = True, max_de
         if fresh.isEmpty():
             delete(spark, at)
             break
-        seen = seen.unionByName(fresh)
+        tables.append(at)
+        seen = spark.read.schema(seen.schema).parquet(*tables)
     back = seen.join(want.select("path_id", F.col("end").alias("id"), "start", "end"), ["path_id", "id"]).select("path_id", "start", "end", F.col("parent").alias("at"), F.array("id").alias("path"), "depth")
     longest = back.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     parents = seen.select("path_id", F.col("id").alias("at"), "parent")
@@ -97,7 +106,7 @@ def shortest_paths(graph: Graph, pairs: DataFrame, directed: bool = True, max_de
 
 
 class ShortestPath:
-    def __init__(self, max_depth: int = 100):
+    def __init__(self, max_depth: int | None = None):
         self.max_depth = max_depth
 
     def paths(self, graph: Graph, pairs: DataFrame) -> DataFrame:
@@ -146,22 +155,24 @@ class RandomWalk:
 class EmbeddingPath:
     """Depth-first towards the end: of the unvisited neighbours one of the top_k nearest to the end is drawn; a dead end steps back.
 
-    Pairs whose search returns to an exhausted start, or whose path outgrows twice the node count, have no row.
+    Pairs whose search returns to an exhausted start, or whose path outgrows twice the node count, have no row. Every round visits a node or steps
+    back, so the search ends by itself; ``max_rounds`` may end it earlier.
     """
 
-    def __init__(self, embeddings: DataFrame, metric: str = "euclidean", top_k: int = 1, seed: int = 0, max_rounds: int = 1000):
+    def __init__(self, embeddings: DataFrame, metric: str = "euclidean", top_k: int = 1, seed: int = 0, max_rounds: int | None = None):
         self.vecs, self.metric, self.top_k, self.seed, self.max_rounds = embeddings.select(F.col("text").alias("id"), "vec"), metric, top_k, seed, max_rounds
 
     def paths(self, graph: Graph, pairs: DataFrame) -> DataFrame:
         validate(graph, pairs)
+        spark = pairs.sparkSession
         steps, _ = saved(arcs(graph, False), "arcs")
         cap = 2 * graph.number_of_nodes()
         ends = self.vecs.select(F.col("id").alias("end"), F.col("vec").alias("end_vec"))
         near = self.vecs.select(F.col("id").alias("neighbour"), F.col("vec").alias("n_vec"))
         state = pairs.select("path_id", "start", "end", F.array("start").alias("path"), F.array("start").alias("visited"))
-        done = state.where("start = end")
-        state, _ = saved(state.where("start <> end"), "guided")
-        for round_ in range(self.max_rounds):
+        arrived = [saved(state.where("start = end").select("path_id", "start", "end", "path"), "arrived")[1]]
+        state, state_at = saved(state.where("start <> end"), "guided")
+        for round_ in _rounds(self.max_rounds):
             at = state.withColumn("id", F.element_at("path", -1))
             options = at.select("path_id", "end", "id", "visited").join(steps, "id").where(~F.array_contains("visited", F.col("neighbour"))).select("path_id", "end", "neighbour")
             ranked = options.join(near, "neighbour").join(ends, "end").select("path_id", "neighbour", F.round(vectors.distance(F.col("n_vec"), F.col("end_vec"), self.metric), 9).alias("d"))
@@ -175,12 +186,18 @@ class EmbeddingPath:
                 F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(back).alias("path"),
                 F.when(F.col("next").isNotNull(), F.array_union("visited", F.array("next"))).otherwise(F.col("visited")).alias("visited"),
             )
-            moved, _ = saved(moved.where((F.size("path") > 0) & (F.size("path") <= cap)), "guided")
-            done = done.unionByName(moved.where(F.element_at("path", -1) == F.col("end")))
-            state = moved.where(F.element_at("path", -1) != F.col("end"))
+            moved, moved_at = saved(moved.where((F.size("path") > 0) & (F.size("path") <= cap)), "guided")
+            delete(spark, state_at)
+            home, home_at = saved(moved.where(F.element_at("path", -1) == F.col("end")).select("path_id", "start", "end", "path"), "arrived")
+            # rounds without arrivals leave no table behind, so the final scan reads only what arrived
+            if home.isEmpty():
+                delete(spark, home_at)
+            else:
+                arrived.append(home_at)
+            state, state_at = moved.where(F.element_at("path", -1) != F.col("end")), moved_at
             if state.isEmpty():
                 break
-        return done.select("path_id", "start", "end", "path")
+        return spark.read.schema("path_id string, start string, end string, path array<string>").parquet(*arrived)
 
 
 class RandomizedShortest:
@@ -189,20 +206,32 @@ class RandomizedShortest:
     With r = 0 it is the plain shortest path. Weights are relaxed by rounds of join and minimum until nothing improves.
     """
 
-    def __init__(self, randomness: float = 0.5, waypoints: int = 3, seed: int = 0, max_rounds: int = 100):
+    def __init__(self, randomness: float = 0.5, waypoints: int = 3, seed: int = 0, max_rounds: int | None = None):
         self.r, self.waypoints, self.seed, self.max_rounds = min(1.0, max(0.0, randomness)), waypoints, seed, max_rounds
 
     def weighted(self, graph: Graph, pairs: DataFrame) -> DataFrame:
+        """A node keeps its cost and parent, not its path; what costs as much as the way to the end found so far is sent no further."""
+        spark = pairs.sparkSession
         steps, _ = saved(arcs(graph, False), "arcs")
         cost = 1 + self.r * F.pmod(pick(self.seed, "path_id", "id", "neighbour"), F.lit(1_000_000)) / 1_000_000
-        best, _ = saved(pairs.select("path_id", F.col("start").alias("id"), F.lit(0.0).alias("cost"), F.array("start").alias("path"), F.lit(True).alias("fresh")), "relax")
-        for _ in range(self.max_rounds):
-            sent = best.where("fresh").join(steps, "id").select("path_id", F.col("neighbour").alias("id"), (F.col("cost") + cost).alias("cost"), F.concat("path", F.array("neighbour")).alias("path"), F.lit(True).alias("fresh"))
-            kept = best.withColumn("fresh", F.lit(False)).unionByName(sent).groupBy("path_id", "id").agg(F.min_by(F.struct("cost", "path", "fresh"), F.struct("cost", "fresh", "path")).alias("b"))
-            best, _ = saved(kept.select("path_id", "id", "b.cost", "b.path", "b.fresh"), "relax")
+        want, _ = saved(pairs.select("path_id", "start", "end"), "pairs")
+        best, at = saved(want.select("path_id", F.col("start").alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("fresh")), "relax")
+        for _ in _rounds(self.max_rounds):
+            bound = best.join(want.select("path_id", F.col("end").alias("id")), ["path_id", "id"]).select("path_id", F.col("cost").alias("bound"))
+            live = best.where("fresh").join(bound, "path_id", "left").where("bound IS NULL OR cost < bound")
+            sent = live.join(steps, "id").select("path_id", F.col("neighbour").alias("id"), (F.col("cost") + cost).alias("cost"), F.col("id").alias("parent"), F.lit(True).alias("fresh"))
+            kept = best.withColumn("fresh", F.lit(False)).unionByName(sent).groupBy("path_id", "id").agg(F.min(F.struct("cost", "fresh", "parent")).alias("b"))
+            new, new_at = saved(kept.select("path_id", "id", "b.cost", "b.parent", "b.fresh"), "relax")
+            delete(spark, at)
+            best, at = new, new_at
             if best.where("fresh").isEmpty():
                 break
-        return best.withColumnRenamed("id", "end").join(pairs.select("path_id", "start", "end"), ["path_id", "end"]).select("path_id", "start", "end", "path")
+        parents = best.select("path_id", F.col("id").alias("at"), "parent")
+        back = best.join(want.select("path_id", F.col("end").alias("id"), "start", "end"), ["path_id", "id"]).select("path_id", "start", "end", F.col("parent").alias("at"), F.array("id").alias("path"))
+        while not back.where("at IS NOT NULL").isEmpty():
+            stepped = back.join(parents, ["path_id", "at"], "left").select("path_id", "start", "end", F.col("parent").alias("at"), F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), F.col("path"))).alias("path"))
+            back, _ = saved(stepped, "back")
+        return back.select("path_id", "start", "end", "path")
 
     def paths(self, graph: Graph, pairs: DataFrame) -> DataFrame:
         validate(graph, pairs)

@@ -72,6 +72,16 @@ class Triplets:
         """(triplet_ord, text): each as (a)-[r]->(b)."""
         return self.df.select("triplet_ord", triplet_text(F.col("node_1"), F.col("edge"), F.col("node_2")).alias("text"))
 
+    def of_chunks(self, chunks: DataFrame) -> Triplets:
+        """Triplets whose chunk is among ``chunks`` (chunk_id)."""
+        own = self.df.withColumn("chunk_id", self.chunk_id())
+        return Triplets(own.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi"), self.config, self.item)
+
+    def by_snippet(self) -> tuple[Triplets, Triplets]:
+        """Those that have a snippet, and those that don't."""
+        has = F.coalesce(F.col("metadata")["snippet"], F.lit("")) != ""
+        return Triplets(self.df.where(has), self.config, self.item), Triplets(self.df.where(~has), self.config, self.item)
+
     def chunk_id(self) -> Column:
         return F.col("metadata")["chunk_id"]
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessergraph import schema
 from tessergraph.operators.graph import Graph
 from tessergraph.operators.triplets import Triplets
 
@@ -14,10 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supply(spark: SparkSession, sf_dir: str, least_quantity: float | None = None) -> DataFrame:
+def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who supplied what, with what outcome: one triplet per line item."""
     li = table(spark, sf_dir, "lineitem")
-    li = li.where(F.col("l_quantity") >= least_quantity) if least_quantity else li
     edge = F.when(F.col("l_returnflag") == "R", "returned").when(F.col("l_returnflag") == "A", "accepted").otherwise("pending")
     meta = F.create_map(F.lit("chunk_id"), F.col("l_orderkey").cast("string"))
     return li.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("triplet_ord"), F.concat(F.lit("S"), "l_suppkey").alias("node_1"), edge.alias("edge"), F.concat(F.lit("P"), "l_partkey").alias("node_2"), meta.alias("metadata"), "l_orderkey")
@@ -33,25 +31,17 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring words of English documents."""
+    """Neighbouring words of all documents."""
     w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", w.alias("w")).where("size(w) > 1")
+    docs = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where("size(w) > 1")
     pair = F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.struct(i.alias("i"), x.alias("a"), F.get("w", i + 1).alias("b")))
     rows = docs.select("doc_id", F.explode(pair).alias("p"))
     return rows.select((F.shiftleft(F.col("doc_id"), 24) + F.col("p.i")).alias("triplet_ord"), F.col("p.a").alias("node_1"), F.lit("next").alias("edge"), F.col("p.b").alias("node_2"), F.create_map(F.lit("chunk_id"), F.col("doc_id").cast("string")).alias("metadata"))
 
 
 def graph(t: DataFrame, domain: str | None = None) -> Graph:
-    """Nodes and edges of triplets in one aggregation each; a column ``tag`` gives their domains."""
-    none = F.create_map().cast(schema.MAP)
-    tags = (lambda: F.array_sort(F.collect_set("tag"))) if "tag" in t.columns else (lambda: F.array().cast("array<string>"))
-    trip = Triplets(t)
-    keep = [c for c in ("tag",) if c in t.columns]
-    base = t.withColumn("triplet_ord", F.monotonically_increasing_id()) if "triplet_ord" not in t.columns else t
-    nodes = base.select(F.explode(F.array("node_1", "node_2")).alias("id"), *keep).groupBy("id").agg(tags().alias("domains")) if keep else base.select(F.explode(F.array("node_1", "node_2")).alias("id")).distinct().withColumn("domains", tags())
-    edges = base.groupBy(F.col("node_1").alias("src"), F.col("edge").alias("relation"), F.col("node_2").alias("dst")).agg(*([tags().alias("domains")] if keep else []), F.max("triplet_ord").alias("ord"))
-    edges = edges if keep else edges.withColumn("domains", tags())
-    return Graph(nodes.select("id", "domains", none.alias("attrs")), edges.select("src", "relation", "dst", "domains", none.alias("attrs"), "ord"), trip.sources(), domain)
+    """The graph of triplets; a column ``tag`` gives their domains."""
+    return Graph.tagged(t, "tag", domain) if "tag" in t.columns else Graph.build(Triplets(t), domain=domain)
 
 
 def segmented_supply(spark: SparkSession, sf_dir: str, domain: str | None = None) -> Graph:

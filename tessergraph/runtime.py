@@ -19,9 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tg-{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str = "round") -> tuple[DataFrame, str]:
     """df written to and read from the shared folder, and where."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/tg-{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

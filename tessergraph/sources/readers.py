@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,11 +89,13 @@ def subgraph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 
 def embedding_cache(spark: SparkSession, path: str, provider: str | None = None, model: str | None = None) -> tuple[DataFrame, str]:
-    """((text, vec), metric) of a cache; another model of the same provider is a ValueError."""
+    """((text, vec), metric) of a cache; another model of the same provider is a ValueError, another provider a warning."""
     doc = spark.read.schema("embedding_provider string, model_name string, distance_metric string, embeddings map<string,array<double>>").option("multiLine", True).json(path)
     head = doc.select("embedding_provider", "model_name", "distance_metric").first()
     if provider == head.embedding_provider and model is not None and model != head.model_name:
         raise ValueError(f"the cache is of {head.model_name}, not {model}")
+    if provider is not None and provider != head.embedding_provider:
+        warnings.warn(f"the cache is of {head.embedding_provider}, not {provider}", stacklevel=2)
     return doc.select(F.explode("embeddings").alias("text", "vec")), head.distance_metric
 
 

@@ -70,7 +70,15 @@ def bodies(df: DataFrame, path: str, id_col: str, body_col: str = "body") -> Non
     df.select(id_col, F.col(body_col).alias("value")).write.mode("overwrite").partitionBy(id_col).text(path)
 
 
-def embedding_cache(vectors: DataFrame, path: str) -> None:
+def embedding_cache(vectors: DataFrame, path: str, provider: str = "", model: str = "", metric: str = "cosine") -> None:
+    """The cache document that the reader takes: provider, model, metric and the vectors by text. For caches that fit a document; else embedding_table."""
+    entries = F.map_from_entries(F.collect_list(F.struct("text", "vec"))).alias("embeddings")
+    doc = vectors.select("text", "vec").agg(entries).select(F.lit(provider).alias("embedding_provider"), F.lit(model).alias("model_name"), F.lit(metric).alias("distance_metric"), "embeddings")
+    doc.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def embedding_table(vectors: DataFrame, path: str) -> None:
+    """(text, vec) as Parquet, for any size."""
     vectors.select("text", "vec").write.mode("overwrite").parquet(path)
 
 

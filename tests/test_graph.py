@@ -1,5 +1,7 @@
 """Literal graphs with known facts."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +254,33 @@ def test_model_merger(spark):
     assert ids(m.groups(g)) == ["aa", "ab"]
     h = resolve.merge(g, m)
     assert ids(h.nodes) == ["joint", "zz"] and h.triplets().count() == 2
+
+
+def test_contraction_unites_attributes_in_a_stated_order(spark):
+    nodes = [("Entity", {"a": "1", "own": "canonical"}), ("entity", {"a": "2", "b": "2"}), ("ENTITY", {"b": "3", "own": "no"}), ("z", {})]
+    g = Graph.empty(spark).add_nodes(spark.createDataFrame(nodes, "id string, attrs map<string,string>"))
+    g = g.add_edges(spark.createDataFrame([("entity", "r", "z", {"w": "1", "x": "1"}), ("ENTITY", "r", "z", {"w": "2"})], "src string, relation string, dst string, attrs map<string,string>"))
+    m = spark.createDataFrame([(x, "Entity") for x in ("Entity", "entity", "ENTITY")], "id string, canonical string")
+    c = g.contract(m)
+    # names in order: ENTITY, entity, then the canonical's own
+    assert c.node_attrs("Entity") == {"a": "1", "b": "2", "own": "canonical"}
+    edges = c.edges.collect()
+    assert len(edges) == 1 and set(edges[0].attrs) == {"w", "x"}
+
+
+def test_searches_have_no_depth_unless_one_is_asked_for(spark):
+    t = Triplets.of(spark, [(f"n{i}", "to", f"n{i + 1}") for i in range(7)])
+    pairs = spark.createDataFrame([("p", "n0", "n7")], "path_id string, start string, end string")
+    assert [len(r.path) for r in paths.ShortestPath().paths(Graph.build(t), pairs).collect()] == [8]
+    assert paths.ShortestPath(5).paths(Graph.build(t), pairs).count() == 0
+    for f in (paths.bfs_levels, paths.shortest_paths, paths.ShortestPath.__init__):
+        assert inspect.signature(f).parameters["max_depth"].default is None
+
+
+def test_chunks_snippets_and_random_nodes(spark):
+    t = Triplets.of(spark, [("a", "r", "b", {"chunk_id": "1", "snippet": "a r b"}), ("c", "r", "d", {"chunk_id": "2"}), ("e", "r", "f")])
+    assert [r.node_1 for r in t.of_chunks(spark.createDataFrame([("2",), ("2",)], "chunk_id string")).df.collect()] == ["c"]
+    with_, without = t.by_snippet()
+    assert [r.node_1 for r in with_.df.collect()] == ["a"] and sorted(r.node_1 for r in without.df.collect()) == ["c", "e"]
+    g = Graph.build(t)
+    assert g.random_node(3) == g.random_node(3) and g.has_node(g.random_node(3)) and Graph.empty(spark).random_node() is None

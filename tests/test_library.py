@@ -307,3 +307,29 @@ def test_models_prompts_and_longer_loop(spark, tmp_path):
     assert (tried.hypothesis, tried.tries) == ("h+", 2)
     done = models.reviewed(start, lambda c: "h", lambda h: "dull", lambda h: "m", {"nice": lambda h: "good", "rude": lambda h: "bad"}, lambda v: "ACCEPT" if "nice: good\nrude: bad" in v else "no", lambda h: h).first()
     assert done.hypothesis == "h\nMethod: m" and done.decision == "ACCEPT" and done.iterations == 1
+
+
+def test_prices_are_of_the_exact_model(spark):
+    names = ["o3-mini-2025-01-31", "o3-mini", "o1-mini", "gpt-4o-2024-08-06", "gpt-4o-mini-2024-07-18", "gpt-4o-audio", None]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(names)], "i int, model string")
+    got = {r.i: r.c for r in df.select("i", text.message_cost(F.col("model"), F.lit(2000), F.lit(1000)).alias("c")).collect()}
+    assert got == {0: 0.0044, 1: 0.0044, 2: 0.0, 3: 0.015, 4: 0.0009, 5: 0.0, 6: 0.0}
+
+
+def test_embedding_cache_comes_back_as_it_was_written(spark, tmp_path):
+    vecs = spark.createDataFrame([("a b", [0.25, -1.0]), ("é", [3.0, 0.0])], "text string, vec array<double>")
+    writers.embedding_cache(vecs, str(tmp_path / "c"), "own", "m1", "euclidean")
+    rows, metric = readers.embedding_cache(spark, str(tmp_path / "c"), "own", "m1")
+    assert metric == "euclidean" and {r.text: r.vec for r in rows.collect()} == {"a b": [0.25, -1.0], "é": [3.0, 0.0]}
+    with pytest.raises(ValueError):
+        readers.embedding_cache(spark, str(tmp_path / "c"), "own", "m2")
+    with pytest.warns(UserWarning):
+        readers.embedding_cache(spark, str(tmp_path / "c"), "other", "m1")
+
+
+def test_chosen_texts(spark):
+    items = spark.createDataFrame([("i", "whole", "clean", ["a", "b"], None), ("j", None, "c", [], ["d"])], "item_id string, full_text string, clean_full_text string, sections array<string>, clean_sections array<string>")
+    got = {g: [(r.chunk_id, r.text) for r in text.chunk_arrays(text.chosen_text(items, g)).orderBy("chunk_id").collect()] for g in text.GETTERS}
+    assert got == {"full_text": [("i_0", "whole")], "clean_full_text": [("i_0", "clean"), ("j_0", "c")], "sections": [("i_0", "a"), ("i_1", "b")], "clean_sections": [("j_0", "d")]}
+    with pytest.raises(ValueError):
+        text.chosen_text(items, "title")
