@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +78,40 @@ def repair(chunks: Column) -> Column:
 
 
 def chunk_fixed(items: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 100, length: Callable[[str], int] = word_count) -> DataFrame:
-    """(item_id, pos, chunk_id, text): chunk ids are the item's id and a running number."""
+    """(item_id, pos, chunk_id, text): chunk ids are the item's id and a running number.
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: fixed_chunks(t, size, overlap, length))
+    A worker holds the batch that Spark sends it (64 MB or so) and the chunks of one text, or of several short ones.
+    """
 
-    return chunk_arrays(items.select(F.col(id_col).cast("string").alias("item_id"), run(F.col(text_col)).alias("chunks")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((item, pos, chunk) for batch in batches for item, t in scalars(batch) for pos, chunk in enumerate(fixed_chunks(t, size, overlap, length)))
+        return flushed(rows, ("item_id", "pos", "text"), ("string", "int32", "string"))
+
+    found = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, "item_id string, pos int, text string")
+    return found.select("item_id", "pos", F.concat_ws("_", "item_id", F.col("pos").cast("string")).alias("chunk_id"), "text")
+
+
+def scalars(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The batch's rows, as Python values one at a time."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
+def flushed(rows: Iterator[tuple], names: tuple[str, ...], kinds: tuple[str, ...], characters: int = 1 << 20, most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about so many characters, and of no more than ``most``."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], list(names))
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if size >= characters or len(held) >= most:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def chunk_arrays(items: DataFrame) -> DataFrame:

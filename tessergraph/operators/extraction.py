@@ -1,7 +1,7 @@
 """Documents to triplets: chunk, extract, ground, review and refine with pluggable callables.
 
 An extractor is a callable text -> list of (node_1, edge, node_2) or dicts (``node1``/``node2`` are
-taken too).  Calls run in mapInPandas, a batch at a time; a chunk whose call fails becomes a row of
+taken too).  Calls run in mapInArrow, a chunk at a time, and rows leave in batches of a megabyte or so; a chunk whose call fails becomes a row of
 the error column and costs no other chunk.
 """
 
@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, fields
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessergraph.functions.text import flushed, scalars
 from tessergraph.operators.triplets import Triplets
 
 OUT = "item_id string, chunk_id string, n int, node_1 string, edge string, node_2 string, snippet string, error string"
@@ -46,20 +48,21 @@ def rule_based(text: str) -> list[tuple[str, str, str]]:
 def extract(chunks: DataFrame, extractor: Callable[[str], list], workers: int | None = None) -> DataFrame:
     """The OUT layout for chunks (item_id, chunk_id, text); ``workers`` asks for that many partitions."""
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in OUT.split(", ")]
-        for pdf in pdfs:
-            rows = []
-            for item, chunk, text in zip(pdf.item_id, pdf.chunk_id, pdf.text, strict=True):
-                try:
-                    found = [t for t in map(as_triplet, extractor(text or "")) if t]
-                    rows += [(item, chunk, n, *t, snippet_of(text, t), None) for n, t in enumerate(found)]
-                except Exception as e:  # reported in the row
-                    rows.append((item, chunk, 0, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=names)
-
-    base = chunks.select("item_id", "chunk_id", "text")
-    return (base.repartition(workers) if workers else base).mapInPandas(run, OUT)
+    def one(item: str, chunk: str, text: str | None) -> Iterator[tuple]:
+        try:
+            found = [t for t in map(as_triplet, extractor(text or "")) if t]
+        except Exception as e:  # reported in the row
+            yield item, chunk, 0, None, None, None, None, f"{type(e).__name__}: {e}"
+            return
+        for n, t in enumerate(found):
+            yield item, chunk, n, *t, snippet_of(text, t), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = zip(*((f.split()[0], {"int": "int32"}.get(f.split()[1], f.split()[1])) for f in OUT.split(", ")), strict=True)
+        return flushed((r for batch in batches for row in scalars(batch) for r in one(*row)), names, kinds)
+
+    base = chunks.select(F.col("item_id").cast("string").alias("item_id"), F.col("chunk_id").cast("string").alias("chunk_id"), "text")
+    return (base.repartition(workers) if workers else base).mapInArrow(run, OUT)
 
 
 def snippet_of(text: str | None, triplet: tuple[str, str, str]) -> str | None:
