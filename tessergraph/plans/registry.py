@@ -333,7 +333,8 @@ def merge_exact_groups(spark, d):
 
 @query(f"{_CANON} SELECT id, canonical FROM m WHERE k > 1")
 def merge_exact_canonical(spark, d):
-    return resolve.ExactMerger().mapping(views.graph(views.words(spark, d)))
+    words, _ = saved(views.words(spark, d), "words")  # groups and provenance both read them
+    return resolve.ExactMerger().mapping(views.graph(words))
 
 
 @query(f"{_CANON} SELECT a.canonical AS src, edge AS relation, b.canonical AS dst, count(*) AS n_sources FROM t JOIN m a ON a.id = node_1 JOIN m b ON b.id = node_2 GROUP BY ALL")

@@ -19,3 +19,13 @@ def test_chunks_and_triplets_equal_the_plain_functions(spark):
     found = extraction.extract(text.chunk_fixed(items, "item_id", "text", 50, 5), extraction.rule_based, 3)
     want = {(c, n, *t, extraction.snippet_of(x, t)) for (_, _, c), x in got.items() for n, t in enumerate(extraction.rule_based(x))}
     assert {(r.chunk_id, r.n, r.node_1, r.edge, r.node_2, r.snippet) for r in found.collect()} == want and want
+
+
+def test_exact_mapping_cuts_texts_once(spark, monkeypatch, tmp_path):
+    """Groups, nodes and provenance used to cut all texts again, each for itself."""
+    from tessergraph.plans import registry
+
+    spark.createDataFrame([(1, "Protein protein binds PROTEIN protein"), (2, "binds Binds it")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = registry.merge_exact_canonical(spark, str(tmp_path))
+    assert {(r.id, r.canonical) for r in out.collect()} == {("Protein", "protein"), ("protein", "protein"), ("PROTEIN", "protein"), ("binds", "binds"), ("Binds", "binds")}
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
