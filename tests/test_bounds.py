@@ -29,3 +29,18 @@ def test_exact_mapping_cuts_texts_once(spark, monkeypatch, tmp_path):
     out = registry.merge_exact_canonical(spark, str(tmp_path))
     assert {(r.id, r.canonical) for r in out.collect()} == {("Protein", "protein"), ("protein", "protein"), ("PROTEIN", "protein"), ("binds", "binds"), ("Binds", "binds")}
     assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_exact_merge_joins_each_edge_once(spark, tmp_path):
+    """Edges and every occurrence used to be joined with the mapping, and then with each other: five joins."""
+    from tessergraph.plans import registry
+
+    spark.createDataFrame([(1, "Protein protein binds PROTEIN protein"), (2, "binds Binds it"), (3, "protein Binds it")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = registry.merge_exact_contracted(spark, str(tmp_path))
+    want = {("protein", "protein", 2), ("protein", "Binds", 2), ("Binds", "protein", 1), ("Binds", "Binds", 1), ("Binds", "it", 2)}
+    assert {(r.src, r.dst, r.n_sources) for r in out.collect()} == want and {r.relation for r in out.collect()} == {"next"}
+    assert joins(out) == 2
