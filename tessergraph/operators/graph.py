@@ -138,10 +138,10 @@ class Graph:
             counts = counts.groupBy(*KEY).agg(F.min("ord").alias("ord"), F.sum("n").alias("n"))
         if first_relation:
             earliest, pairs = F.struct("ord", "relation"), ["src", "dst"]
+            edges = edges.dropna(subset=pairs).groupBy(*pairs).agg(F.min_by(F.struct("relation", "domains", "attrs", "ord"), earliest).alias("e")).select(*pairs, "e.*")
             if counts is not None:
                 counts = counts.dropna(subset=pairs).groupBy(*pairs).agg(F.min_by("relation", earliest).alias("relation"), F.min("ord").alias("ord"), F.sum("n").alias("n")).select(*self.counts.columns)
-            first = edges.groupBy(*pairs).agg(F.min_by("relation", earliest).alias("_first"))
-            edges = edges.join(first, pairs).where("relation = _first").select(*self.edges.columns)
+            first = edges.select(*pairs, F.col("relation").alias("_first"))
             sources = sources.join(first, ["src", "dst"]).withColumn("metadata", merge_maps(F.create_map(F.lit("relation"), F.col("relation")), F.col("metadata"))).withColumn("relation", F.col("_first"))
         return replace(self, nodes=nodes, edges=edges.select(*self.edges.columns), sources=sources.select(*self.sources.columns), counts=counts)
 

@@ -44,3 +44,24 @@ def test_exact_merge_joins_each_edge_once(spark, tmp_path):
     want = {("protein", "protein", 2), ("protein", "Binds", 2), ("Binds", "protein", 1), ("Binds", "Binds", 1), ("Binds", "it", 2)}
     assert {(r.src, r.dst, r.n_sources) for r in out.collect()} == want and {r.relation for r in out.collect()} == {"next"}
     assert joins(out) == 2
+
+
+def test_first_relation_joins_each_edge_once(spark):
+    """The first relation used to be found from edges that were mapped twice over, and joined with mapped occurrences."""
+    from tessergraph.operators.graph import Graph
+    from tessergraph.operators.triplets import Triplets
+
+    rows = [("a", "r", "x1"), ("a", "q", "x2"), ("a", "r", "x1"), ("b", "p", "x2"), ("b", "o", "y"), ("a", "z", "a"), ("c", "u", "x1"), ("x2", "t", "c")]
+    g = Graph.build(Triplets.of(spark, rows))
+    m = spark.createDataFrame([("x1", "x"), ("x2", "x"), ("c", "b")], "id string, canonical string")
+    h = g.contract(m, first_relation=True)
+    out = h.edge_provenance()
+    # a-r->x is last seen at 2, after a-q->x at 1
+    want = {("a", "q", "x", 3), ("b", "p", "x", 2), ("b", "o", "y", 1), ("a", "z", "a", 1), ("x", "t", "b", 1)}
+    assert {tuple(r) for r in out.collect()} == want and joins(out) == 2
+    # counts agree with edges joined with sources
+    plain = Graph(h.nodes, h.edges, h.sources)
+    assert {tuple(r) for r in plain.edge_provenance().collect()} == want
+    again = h.add_triplets(Triplets.of(spark, rows + [("a", "n", "x")]))
+    assert {tuple(r) for r in again.edge_provenance().collect()} == {tuple(r) for r in Graph(again.nodes, again.edges, again.sources).edge_provenance().collect()}
+    assert joins(h.edges) == 2
