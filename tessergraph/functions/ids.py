@@ -29,6 +29,12 @@ def triplet_id(node_1: Column, edge: Column, node_2: Column, metadata: Column, o
     return F.sha2(F.concat_ws("\u0001", node_1, edge, node_2, F.to_json(metadata), ordinal.cast("string")), 256)
 
 
+def compact(ident: Column) -> Column:
+    """A triplet id in half its bytes, for joins; other ids in their own, with a mark so that no two ids share one."""
+    digest = F.rlike(ident, F.lit("^[0-9a-f]{64}$"))
+    return F.when(digest, F.unhex(F.concat(ident, F.lit("00")))).otherwise(F.encode(F.concat(ident, F.lit("\u0001")), "utf-8"))
+
+
 def hypothesis_id(statement: Column) -> Column:
     return F.sha2(statement, 256)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessergraph import schema
 from tessergraph.functions.cypher import edge_text
+from tessergraph.functions.ids import compact
 from tessergraph.operators.triplets import Triplets, merge_maps
 from tessergraph.runtime import saved
 
@@ -75,7 +76,8 @@ class Graph:
         """Upsert both ends and the edge of each triplet and append its provenance. Known triplets (same id) aren't added twice."""
         fresh = triplets.sources()
         if not self.sources.isEmpty():
-            fresh = fresh.join(self.sources.select("triplet_id"), "triplet_id", "left_anti").select(*self.sources.columns)
+            known = self.sources.select(compact(F.col("triplet_id")).alias("_known"))
+            fresh = fresh.withColumn("_known", compact(F.col("triplet_id"))).join(known, "_known", "left_anti")
         fresh = fresh.select(*self.sources.columns)
         counts = self.counts.unionByName(_occurrences(fresh)) if self.counts is not None and self.counted == self.domain else None
         none = F.create_map().cast(schema.MAP)

@@ -65,3 +65,24 @@ def test_first_relation_joins_each_edge_once(spark):
     again = h.add_triplets(Triplets.of(spark, rows + [("a", "n", "x")]))
     assert {tuple(r) for r in again.edge_provenance().collect()} == {tuple(r) for r in Graph(again.nodes, again.edges, again.sources).edge_provenance().collect()}
     assert joins(h.edges) == 2
+
+
+def test_known_triplets_are_found_by_short_ids(spark):
+    """The join by id used to carry 64 characters a row, twice, for edges and for sources."""
+    from pyspark.sql import functions as F
+
+    from tessergraph.functions import ids
+    from tessergraph.operators.graph import Graph
+    from tessergraph.operators.triplets import Triplets
+
+    named = ["0a" * 32, "0A" * 32, "0b" * 32, "0" * 31, "t1", "", "0a" * 16, "é" * 32]
+    got = spark.createDataFrame([(x,) for x in named], "i string").select("i", ids.compact(F.col("i")).alias("c")).collect()
+    assert len({bytes(r.c) for r in got}) == len(named) and {len(r.c) for r in got if r.i == "0a" * 32} == {33}
+    rows = [("a", "r", "b"), ("a", "r", "b"), ("c", "r", "b")]
+    g = Graph.build(Triplets.of(spark, rows[:2]), domain="d").add_triplets(Triplets.of(spark, rows))
+    out = g.edge_provenance()
+    assert {tuple(r) for r in out.collect()} == {("a", "r", "b", 2), ("c", "r", "b", 1)} and joins(out) == 1
+    # edges that aren't those of the sources are still joined with them
+    more = spark.createDataFrame([("a", "s", "b", {})], "src string, relation string, dst string, attrs map<string,string>")
+    assert {tuple(r) for r in g.add_edges(more).edge_provenance().collect()} == {("a", "r", "b", 2), ("c", "r", "b", 1), ("a", "s", "b", 0)}
+    assert Graph.build(Triplets.of(spark, rows), domain="d").remove_nodes(spark.createDataFrame([("c",)], "id string")).edge_provenance().count() == 1
