@@ -65,9 +65,9 @@ class Graph:
         edges = rows.groupBy(F.col("node_1").alias("src"), F.col("edge").alias("relation"), F.col("node_2").alias("dst")).agg(all_tags, F.max("triplet_ord").alias("ord"))
         return cls(nodes, edges.select(*KEY, "domains", none.alias("attrs"), "ord"), sources, domain)
 
-    def stored(self) -> Graph:
-        """Nodes and edges as tables in the shared folder, for operators that read them several times."""
-        return replace(self, nodes=saved(self.nodes, "nodes")[0], edges=saved(self.edges, "edges")[0])
+    def stored(self, *tables: str) -> Graph:
+        """Nodes and edges, or the tables named, in the shared folder, for operators that read them several times."""
+        return replace(self, **{t: saved(getattr(self, t), t)[0] for t in tables or ("nodes", "edges")})
 
     def tags(self) -> Column:
         return F.array(F.lit(self.domain)) if self.domain else F.array().cast("array<string>")

@@ -130,27 +130,27 @@ def remove_domain(spark, d):
 
 @query(f"""WITH {TAGGED} SELECT DISTINCT node_1 AS id, node_2 AS neighbour FROM g WHERE node_2 IN (SELECT id FROM nd WHERE tag = 'BUILDING')""")
 def successors(spark, d):
-    g = views.segmented_supply(spark, d, "BUILDING")
+    g = views.segmented_supply(spark, d, "BUILDING", stored=True).stored("nodes")
     return g.successors(g.nodes.where("id LIKE 'S%'"))
 
 
 @query(f"""WITH {TAGGED} SELECT DISTINCT node_2 AS id, node_1 AS neighbour FROM g WHERE node_1 IN (SELECT id FROM nd WHERE tag = 'BUILDING')""")
 def predecessors(spark, d):
-    g = views.segmented_supply(spark, d, "BUILDING")
+    g = views.segmented_supply(spark, d, "BUILDING", stored=True).stored("nodes")
     return g.predecessors(g.nodes.where("id LIKE 'P%'"))
 
 
 @query(f"""WITH {TAGGED}, u AS (SELECT node_1 AS id, node_2 AS neighbour FROM g UNION SELECT node_2, node_1 FROM g)
 SELECT id, neighbour FROM u WHERE neighbour IN (SELECT id FROM nd WHERE tag = 'BUILDING')""")
 def neighbors(spark, d):
-    g = views.segmented_supply(spark, d, "BUILDING").stored()
+    g = views.segmented_supply(spark, d, "BUILDING", stored=True).stored("nodes")
     return g.neighbours(g.nodes)
 
 
 @query(f"""WITH {TAGGED}, e AS (SELECT DISTINCT node_1, edge, node_2 FROM g WHERE tag = 'BUILDING')
 SELECT node_1 AS id, node_1 AS src, edge AS relation, node_2 AS dst FROM e UNION ALL SELECT node_2, node_1, edge, node_2 FROM e""")
 def labelled_neighborhood(spark, d):
-    g = views.segmented_supply(spark, d, "BUILDING").stored()
+    g = views.segmented_supply(spark, d, "BUILDING", stored=True).stored()
     return g.labelled_neighbourhood(g.nodes)
 
 

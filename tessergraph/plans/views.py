@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessergraph.operators.graph import Graph
 from tessergraph.operators.triplets import Triplets
+from tessergraph.runtime import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who supplied what, with what outcome: one triplet per line item."""
-    li = table(spark, sf_dir, "lineitem")
+    return supplied(table(spark, sf_dir, "lineitem"))
+
+
+def supplied(li: DataFrame, *more: str) -> DataFrame:
     edge = F.when(F.col("l_returnflag") == "R", "returned").when(F.col("l_returnflag") == "A", "accepted").otherwise("pending")
     meta = F.create_map(F.lit("chunk_id"), F.col("l_orderkey").cast("string"))
-    return li.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("triplet_ord"), F.concat(F.lit("S"), "l_suppkey").alias("node_1"), edge.alias("edge"), F.concat(F.lit("P"), "l_partkey").alias("node_2"), meta.alias("metadata"), "l_orderkey")
+    return li.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("triplet_ord"), F.concat(F.lit("S"), "l_suppkey").alias("node_1"), edge.alias("edge"), F.concat(F.lit("P"), "l_partkey").alias("node_2"), meta.alias("metadata"), "l_orderkey", *more)
 
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +48,11 @@ def graph(t: DataFrame, domain: str | None = None) -> Graph:
     return Graph.tagged(t, "tag", domain) if "tag" in t.columns else Graph.build(Triplets(t), domain=domain)
 
 
-def segmented_supply(spark: SparkSession, sf_dir: str, domain: str | None = None) -> Graph:
-    """The supply graph tagged with the market segment of each order's customer."""
+def segmented_supply(spark: SparkSession, sf_dir: str, domain: str | None = None, stored: bool = False) -> Graph:
+    """The supply graph tagged with the market segment of each order's customer; ``stored`` joins them once, for operators that read it several times."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_mktsegment").alias("tag"))
-    return graph(supply(spark, sf_dir).join(orders, "l_orderkey"), domain)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag").join(orders, "l_orderkey")
+    return graph(supplied(saved(li, "supply")[0] if stored else li, "tag"), domain)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,18 @@ def test_known_triplets_are_found_by_short_ids(spark):
     more = spark.createDataFrame([("a", "s", "b", {})], "src string, relation string, dst string, attrs map<string,string>")
     assert {tuple(r) for r in g.add_edges(more).edge_provenance().collect()} == {("a", "r", "b", 2), ("c", "r", "b", 1), ("a", "s", "b", 0)}
     assert Graph.build(Triplets.of(spark, rows), domain="d").remove_nodes(spark.createDataFrame([("c",)], "id string")).edge_provenance().count() == 1
+
+
+def test_segmented_supply_is_joined_once(spark, tmp_path, monkeypatch):
+    """Line items, orders and customers used to be joined for the edges, the frontier and the nodes, in up to six places of a plan."""
+    from tessergraph.plans import registry
+
+    write = lambda name, rows, cols: spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write("customer", [(1, "BUILDING"), (2, "OTHER")], "c_custkey long, c_mktsegment string")
+    write("orders", [(10, 1), (20, 2)], "o_orderkey long, o_custkey long")
+    write("lineitem", [(10, 1, 5, 7, "R"), (10, 2, 5, 8, "A"), (20, 1, 6, 7, "R"), (20, 2, 6, 9, "N"), (20, 3, 6, 9, "A")], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_returnflag string")
+    got = {q: registry.QUERIES[q](spark, str(tmp_path)) for q in ("successors", "predecessors", "neighbors", "labelled_neighborhood")}
+    rows = {q: sorted(map(tuple, df.collect())) for q, df in got.items()}
+    assert rows["successors"] == [("S5", "P7"), ("S5", "P8"), ("S6", "P7")] and rows["predecessors"] == [("P7", "S5"), ("P8", "S5")]
+    assert rows["neighbors"] == sorted(rows["successors"] + rows["predecessors"]) and len(rows["labelled_neighborhood"]) == 4
+    assert not any("c_mktsegment" in df._jdf.queryExecution().optimizedPlan().toString() for df in got.values())
