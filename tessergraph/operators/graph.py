@@ -255,7 +255,15 @@ class Graph:
         return kept.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
     def neighbours(self, frontier: DataFrame) -> DataFrame:
-        return self.successors(frontier).unionByName(self.predecessors(frontier)).distinct()
+        """(id, neighbour): distinct successors and predecessors. A pair of nodes goes through the joins once, whichever way its edges lead."""
+        pairs = self.edges.dropna(subset=["src", "dst"]).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+        marks = frontier.select("id", F.lit(True).alias("near"), F.lit(False).alias("far")).unionByName(self.node_rows().select("id", F.lit(False).alias("near"), F.lit(True).alias("far")))
+        marks = marks.groupBy("id").agg(F.max("near").alias("near"), F.max("far").alias("far"))
+        side = lambda c: marks.select(F.col("id").alias(c), F.col("near").alias(f"{c}_near"), F.col("far").alias(f"{c}_far"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")  # an end without a mark is neither of the frontier nor seen
+        way = lambda x, y: F.when(F.col(f"{x}_near") & F.col(f"{y}_far"), F.struct(F.col(x).alias("id"), F.col(y).alias("neighbour")))
+        back = F.when(F.col("a") != F.col("b"), way("b", "a"))
+        return both.select(F.explode(F.array(way("a", "b"), back)).alias("p")).where("p IS NOT NULL").select("p.id", "p.neighbour")
 
     def out_edges(self, frontier: DataFrame) -> DataFrame:
         """Edges from the frontier, by the edge's domain."""

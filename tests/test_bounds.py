@@ -88,6 +88,23 @@ def test_known_triplets_are_found_by_short_ids(spark):
     assert Graph.build(Triplets.of(spark, rows), domain="d").remove_nodes(spark.createDataFrame([("c",)], "id string")).edge_provenance().count() == 1
 
 
+def test_neighbours_join_each_pair_once(spark):
+    """Successors and predecessors used to be made distinct and joined each for itself, and again together."""
+    from tessergraph.operators.graph import Graph
+    from tessergraph.operators.triplets import Triplets
+
+    rows = [("a", "r", "b"), ("b", "q", "a"), ("a", "r", "c"), ("d", "r", "a"), ("a", "s", "a"), ("e", "r", "e"), ("z", "r", "f")]
+    g = Graph.build(Triplets.of(spark, rows), domain="x")
+    seen = g.add_nodes(spark.createDataFrame([("new", {})], "id string, attrs map<string,string>"))
+    y = Graph(seen.nodes.where("id <> 'c'"), seen.edges, seen.sources, "x")
+    ids = spark.createDataFrame([("a",), ("a",), ("e",), ("f",), ("c",), ("nobody",)], "id string")
+    out = y.neighbours(ids)
+    want = y.successors(ids).unionByName(y.predecessors(ids)).distinct()
+    pairs = [("a", "a"), ("a", "b"), ("a", "d"), ("c", "a"), ("e", "e"), ("f", "z")]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) == pairs
+    assert joins(out) == 2
+
+
 def test_segmented_supply_is_joined_once(spark, tmp_path, monkeypatch):
     """Line items, orders and customers used to be joined for the edges, the frontier and the nodes, in up to six places of a plan."""
     from tessergraph.plans import registry
