@@ -64,15 +64,16 @@ def items_json(spark: SparkSession, base: str, without_version: str | None = Non
 
 
 def graph_json(spark: SparkSession, path: str, domain: str | None = None, max_items: int | None = None, preserve_domains: bool = False) -> Graph:
-    """A graph document. All rows get the given domain unless preserve_domains; max_items keeps the first triplets only."""
+    """A graph document, or a folder of those that graph_json wrote. All rows get the given domain unless preserve_domains; max_items keeps the first triplets only."""
     node = "struct<id:string,attributes:struct<domains:array<string>,attrs:map<string,string>>>"
-    edge = "struct<source:string,target:string,attributes:struct<relation:string,domains:array<string>,attrs:map<string,string>,ord:bigint,sources:array<struct<triplet_id:string,ord:bigint,metadata:map<string,string>>>>>"
+    edge = "struct<source:string,target:string,attributes:struct<relation:string,domains:array<string>,attrs:map<string,string>,ord:bigint,sources:array<struct<triplet_id:string,ord:bigint,metadata:map<string,string>>>,part:bigint>>"
     doc = spark.read.schema(f"graph struct<nodes:array<{node}>,edges:array<{edge}>>").option("multiLine", True).json(path)
     mark = F.array(F.lit(domain)) if domain and not preserve_domains else None
     none = F.create_map().cast(schema.MAP)
     n = doc.select(F.explode("graph.nodes").alias("n")).select("n.id", (mark if mark is not None else F.col("n.attributes.domains")).alias("domains"), F.coalesce("n.attributes.attrs", none).alias("attrs"))
     e = doc.select(F.explode("graph.edges").alias("e")).select("e.source", "e.target", "e.attributes.*")
-    edges = e.select(F.col("source").alias("src"), "relation", F.col("target").alias("dst"), (mark if mark is not None else F.col("domains")).alias("domains"), F.coalesce("attrs", none).alias("attrs"), "ord")
+    # a part above 0 holds more occurrences of an edge that is elsewhere
+    edges = e.where("coalesce(part, 0) = 0").select(F.col("source").alias("src"), "relation", F.col("target").alias("dst"), (mark if mark is not None else F.col("domains")).alias("domains"), F.coalesce("attrs", none).alias("attrs"), "ord")
     s = e.select(F.col("source").alias("src"), "relation", F.col("target").alias("dst"), F.explode("sources").alias("s")).select("src", "relation", "dst", "s.triplet_id", "s.ord", "s.metadata")
     graph = Graph(n, edges, s, domain)
     return Graph.build(graph.triplets().head(max_items), domain=domain) if max_items else graph

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessergraph.operators.graph import Graph
+from tessergraph.operators.graph import KEY, Graph
 from tessergraph.operators.triplets import Triplets
+from tessergraph.schema import MAP
 
 
 def triplets_csv(triplets: Triplets, path: str, snippet: bool = False) -> None:
@@ -38,19 +39,55 @@ def _by_order(x, y):
     return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
+def _gathered(sources: DataFrame, *key: str) -> DataFrame:
+    return sources.groupBy(*KEY, *key).agg(F.array_sort(F.collect_list(F.struct("ord", "triplet_id", "metadata")), _by_order).alias("s"))
+
+
+def _node() -> Column:
+    return F.struct("id", F.struct("domains", "attrs").alias("attributes"))
+
+
+def _edge(*more: str) -> Column:
+    own = F.transform("s", lambda x: F.struct(x["triplet_id"], x["ord"], x["metadata"])).alias("sources")
+    return F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.struct("relation", "domains", "attrs", "ord", own, *more).alias("attributes"))
+
+
+def _document() -> Column:
+    return F.to_json(F.struct(F.struct("nodes", "edges").alias("graph"))).alias("json")
+
+
 def graph_document(graph: Graph) -> DataFrame:
-    """One row ``json``: the whole graph, all domains. For graphs that fit a document; else graph_tables. Empty: ValueError."""
+    """One row ``json``: the whole graph, all domains. For graphs that fit a document; else graph_json or graph_tables. Empty: ValueError."""
     if graph.nodes.isEmpty():
         raise ValueError("an empty graph isn't saved")
-    sources = graph.sources.groupBy("src", "relation", "dst").agg(F.array_sort(F.collect_list(F.struct("ord", "triplet_id", "metadata")), _by_order).alias("s"))
-    nodes = graph.nodes.agg(F.collect_list(F.struct("id", F.struct("domains", "attrs").alias("attributes"))).alias("nodes"))
-    edge = F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.struct("relation", "domains", "attrs", "ord", F.transform("s", lambda x: F.struct(x["triplet_id"], x["ord"], x["metadata"])).alias("sources")).alias("attributes"))
-    edges = graph.edges.join(sources, ["src", "relation", "dst"], "left").agg(F.collect_list(edge).alias("edges"))
-    return nodes.join(edges, how="cross").select(F.to_json(F.struct(F.struct("nodes", "edges").alias("graph"))).alias("json"))  # one row each
-
-
-def graph_json(graph: Graph, path: str) -> None:
-    graph_document(graph).coalesce(1).write.mode("overwrite").text(path)
+    nodes = graph.nodes.agg(F.collect_list(_node()).alias("nodes"))
+    edges = graph.edges.join(_gathered(graph.sources), KEY, "left").agg(F.collect_list(_edge()).alias("edges"))
+    return nodes.join(edges, how="cross").select(_document())  # one row each
+
+
+def graph_documents(graph: Graph, n: int, size: int) -> DataFrame:
+    """n rows ``json`` at most, each a document with a share of the nodes and edges, made in a task of its own.
+
+    Of an edge that occurs more than ``size`` times each document takes a part of the occurrences; all but that of part 0 carry nothing else of it.
+    """
+    many = graph.sources.groupBy(*KEY).agg(F.ceil(F.count("*") / size).alias("k")).where("k > 1")
+    parts = F.pmod(F.xxhash64("ord", "triplet_id"), F.coalesce("k", F.lit(1))).alias("part")
+    sources = graph.sources.join(F.broadcast(many), KEY, "left").select(*graph.sources.columns, parts)  # a size-th of the occurrences at most
+    own = _gathered(sources, "part")
+    whole = graph.edges.join(own.where("part = 0"), KEY, "left").select(*KEY, "domains", "attrs", "ord", "s", F.lit(0).cast("long").alias("part"))
+    rest = own.where("part > 0").select(*KEY, F.lit(None).cast("array<string>").alias("domains"), F.lit(None).cast(MAP).alias("attrs"), F.lit(None).cast("long").alias("ord"), "s", "part")
+    at = lambda *key: F.pmod(F.xxhash64(*key), F.lit(n)).alias("doc")
+    nodes = graph.nodes.select(at("id"), _node().alias("node"))
+    edges = whole.unionByName(rest).select(at(*KEY, "part"), _edge("part").alias("edge"))
+    both = nodes.unionByName(edges, allowMissingColumns=True).repartition(n, "doc")
+    return both.groupBy("doc").agg(F.collect_list("node").alias("nodes"), F.collect_list("edge").alias("edges")).select(_document())
+
+
+def graph_json(graph: Graph, path: str, size: int = 50_000) -> None:
+    """A graph document; of a graph with more than ``size`` nodes, edges and occurrences several, a file each, which the reader takes as one graph. Empty: ValueError."""
+    n = -(-(graph.nodes.count() + graph.edges.count() + graph.sources.count()) // size)
+    docs = graph_document(graph).coalesce(1) if n < 2 else graph_documents(graph, n, size)
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def graph_cypher(graph: Graph, path: str) -> None:
