@@ -73,7 +73,7 @@ def graph_documents(graph: Graph, n: int, size: int) -> DataFrame:
     many = graph.sources.groupBy(*KEY).agg(F.ceil(F.count("*") / size).alias("k")).where("k > 1")
     parts = F.pmod(F.xxhash64("ord", "triplet_id"), F.coalesce("k", F.lit(1))).alias("part")
     sources = graph.sources.join(F.broadcast(many), KEY, "left").select(*graph.sources.columns, parts)  # a size-th of the occurrences at most
-    own = _gathered(sources, "part")
+    own = _gathered(sources, "part").hint("merge")  # lists are larger than Spark takes them to be, and all of them must not be broadcast
     whole = graph.edges.join(own.where("part = 0"), KEY, "left").select(*KEY, "domains", "attrs", "ord", "s", F.lit(0).cast("long").alias("part"))
     rest = own.where("part > 0").select(*KEY, F.lit(None).cast("array<string>").alias("domains"), F.lit(None).cast(MAP).alias("attrs"), F.lit(None).cast("long").alias("ord"), "s", "part")
     at = lambda *key: F.pmod(F.xxhash64(*key), F.lit(n)).alias("doc")
