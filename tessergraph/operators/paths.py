@@ -35,10 +35,12 @@ class StartGenerator(Protocol):
 
 
 def validate(graph: Graph, pairs: DataFrame) -> None:
-    """ValueError if a start or end isn't a node of the graph."""
+    """ValueError if a start or end isn't a node of the graph. The nodes are searched by what is asked for, so that they're never sent around for it."""
     for side in ("start", "end"):
         if side in pairs.columns:
-            lost = pairs.select(F.col(side).alias("id")).join(graph.node_rows().select("id"), "id", "left_anti").limit(3).collect()
+            asked = pairs.select(F.col(side).alias("id"))
+            found = graph.node_rows().select("id").join(asked.where("id IS NOT NULL").distinct(), "id", "left_semi")
+            lost = asked.join(found, "id", "left_anti").limit(3).collect()
             if lost:
                 raise ValueError(f"{side} node not in the graph: {', '.join(str(r.id) for r in lost)}")
 
@@ -167,8 +169,10 @@ class EmbeddingPath:
         spark = pairs.sparkSession
         steps, _ = saved(arcs(graph, False), "arcs")
         cap = 2 * graph.number_of_nodes()
-        ends = self.vecs.select(F.col("id").alias("end"), F.col("vec").alias("end_vec"))
-        near = self.vecs.select(F.col("id").alias("neighbour"), F.col("vec").alias("n_vec"))
+        wanted = pairs.select(F.col("end").alias("id")).distinct()
+        ends, _ = saved(self.vecs.join(wanted, "id", "left_semi").select(F.col("id").alias("end"), F.col("vec").alias("end_vec")), "ends")
+        # vectors are larger than Spark takes arrays to be, and all nodes' must not be broadcast
+        near = self.vecs.select(F.col("id").alias("neighbour"), F.col("vec").alias("n_vec")).hint("merge")
         state = pairs.select("path_id", "start", "end", F.array("start").alias("path"), F.array("start").alias("visited"))
         arrived = [saved(state.where("start = end").select("path_id", "start", "end", "path"), "arrived")[1]]
         state, state_at = saved(state.where("start <> end"), "guided")

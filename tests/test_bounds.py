@@ -1,5 +1,7 @@
 """What a worker, a task or the driver holds doesn't grow with the tables."""
 
+import pytest
+
 from tessergraph.functions import text
 from tessergraph.operators import extraction
 
@@ -142,3 +144,32 @@ def test_graph_json_is_written_in_bounded_documents(spark, tmp_path):
     for name in ("nodes", "edges", "sources"):
         assert rows(getattr(h, name).select(*getattr(g, name).columns)) == rows(getattr(g, name)), name
     assert rows(h.edge_provenance()) == rows(g.edge_provenance())
+
+
+def test_embedding_path_broadcasts_no_vectors_of_all_nodes(spark, monkeypatch):
+    """The vectors of all nodes, twice a round, and all names, twice, used to go through the driver."""
+    from pyspark.sql import functions as F
+
+    from tessergraph.functions import vectors as V
+    from tessergraph.operators import paths
+    from tessergraph.operators.graph import Graph
+    from tessergraph.operators.triplets import Triplets
+
+    plans, keep = [], paths.saved
+
+    def seen(df, name="round"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name)
+
+    monkeypatch.setattr(paths, "saved", seen)
+    g = Graph.build(Triplets.of(spark, [("A", "r", "B"), ("B", "r", "C"), ("C", "r", "D"), ("A", "r", "E")]))
+    vecs = g.nodes.select(F.col("id").alias("text"), V.hashed(F.col("id")).alias("vec"))
+    pairs = spark.createDataFrame([("p", "A", "D"), ("q", "D", "A"), ("s", "B", "B")], "path_id string, start string, end string")
+    found = {r.path_id: r.path for r in paths.EmbeddingPath(vecs).paths(g, pairs).collect()}
+    assert found["q"] == ["D", "C", "B", "A"] and found["p"][0] == "A" and found["p"][-1] == "D" and found["s"] == ["B"]
+    rounds = [p for name, p in plans if name == "guided"][1:]
+    assert rounds and all("SortMergeJoin [neighbour" in p for p in rounds) and any(name == "ends" for name, _ in plans)
+    with pytest.raises(ValueError, match="end node not in the graph: Z"):
+        paths.validate(g, pairs.withColumn("end", F.lit("Z")))
+    with pytest.raises(ValueError, match="start node not in the graph: None"):
+        paths.validate(g, pairs.withColumn("start", F.lit(None).cast("string")))
