@@ -247,8 +247,10 @@ class Graph:
         return self._hop(frontier, "dst", "src", limit, seed)
 
     def _hop(self, frontier: DataFrame, near: str, far: str, limit: int | None, seed: int) -> DataFrame:
-        pairs = self.edges.select(F.col(near).alias("id"), F.col(far).alias("neighbour")).join(frontier.select("id").distinct(), "id", "left_semi").distinct()
-        kept = pairs.join(self.node_rows().select(F.col("id").alias("neighbour")), "neighbour", "left_semi").select("id", "neighbour")
+        # inner joins with distinct ids stay above the distinct, where semi-joins would be pushed below it: a task then sorts no pairs while it gathers them
+        ids = lambda df, c: df.select(F.col("id").alias(c)).distinct().hint("shuffle_hash")
+        pairs = self.edges.select(F.col(near).alias("id"), F.col(far).alias("neighbour")).distinct()
+        kept = pairs.join(ids(frontier, "id"), "id").join(ids(self.node_rows(), "neighbour"), "neighbour").select("id", "neighbour")
         if limit is None:
             return kept
         order = Window.partitionBy("id").orderBy(pick(seed, "id", "neighbour"), "neighbour")

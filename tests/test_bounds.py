@@ -120,6 +120,8 @@ def test_segmented_supply_is_joined_once(spark, tmp_path, monkeypatch):
     assert rows["successors"] == [("S5", "P7"), ("S5", "P8"), ("S6", "P7")] and rows["predecessors"] == [("P7", "S5"), ("P8", "S5")]
     assert rows["neighbors"] == sorted(rows["successors"] + rows["predecessors"]) and len(rows["labelled_neighborhood"]) == 4
     assert not any("c_mktsegment" in df._jdf.queryExecution().optimizedPlan().toString() for df in got.values())
+    # semi-joins would be pushed below the distinct and sorted in the task that gathers the pairs
+    assert not any("LeftSemi" in got[q]._jdf.queryExecution().optimizedPlan().toString() for q in ("successors", "predecessors"))
 
 
 def test_graph_json_is_written_in_bounded_documents(spark, tmp_path):
